@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,26 @@ def get_session(name: str = "spoglio", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application; `spark-submit --py-files` does as well."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="spoglio-"), "spoglio.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, str(source.relative_to(here.parent)))
+    spark.sparkContext.addPyFile(target)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,4 +77,5 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
