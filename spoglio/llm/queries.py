@@ -15,6 +15,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled(identify_languages(table(spark, sf_dir, "documents"))).distinct()
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoglio.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoglio.llm.packing import fill_report
+
+    return fill_report(p6_pack(spark, sf_dir))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from spoglio.llm.mixing import mix_sources
 
@@ -30,7 +42,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
