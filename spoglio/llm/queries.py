@@ -16,6 +16,27 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled(identify_languages(table(spark, sf_dir, "documents"))).distinct()
 
 
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoglio.llm.canonical import canonicalize
+
+    listed = table(spark, sf_dir, "canonical_values")
+    courts = table(spark, sf_dir, "judgment_analyses").select("analysis_id", F.col("authority.value").alias("value"))
+    courts = canonicalize(courts, "analysis_id", "value", listed.where("list_name = 'authority'")).withColumn("field", F.lit("authority"))
+    acts = canonicalize(table(spark, sf_dir, "casefile_units"), "unit_key", "act_title", listed.where("list_name = 'act_title'")).withColumn("field", F.lit("act_title"))
+    return courts.unionByName(acts)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "canonical_values").select(F.col("list_name").alias("field"), F.col("canonical").alias("value"))
+    return _canonical(spark, sf_dir).join(F.broadcast(entries), ["field", "value"], "left_anti").select("field", "rec_id", "canon_id")
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values no entry was found for, with how often they occur."""
+    missing = _canonical(spark, sf_dir).where("canon_id = 0")
+    return missing.groupBy("field", "value").agg(F.count("*").alias("n_records"), F.max("n_candidates").alias("n_candidates"))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame]]:
     """Word triples and one half, as the problem's cases are defined; the bands find that with few misses."""
     from spoglio.llm.near_dup import near_duplicates
@@ -67,7 +88,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
