@@ -16,6 +16,31 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mislabelled(identify_languages(table(spark, sf_dir, "documents"))).distinct()
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoglio.llm.pii import find_personal_information
+
+    judges = table(spark, sf_dir, "judgment_analyses").select("analysis_id", "judge.value", "judge.source")
+    every = [("markdown", find_personal_information(table(spark, sf_dir, "sanitize_results"), "job_id", "markdown"))]
+    every += [(f"judge.{c}", find_personal_information(judges, "analysis_id", c, loose_names=True, lexicon=frozenset())) for c in ("value", "source")]
+    first, *rest = [found.select(F.lit(field).alias("field"), "rec_id", "kind", "value") for field, found in every]
+    for other in rest:
+        first = first.unionByName(other)
+    return first
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders in place of what was found."""
+    from spoglio.llm.pii import name_lexicon, redact_column
+
+    texts = table(spark, sf_dir, "sanitize_results").select("job_id", "markdown").distinct()
+    lexicon = name_lexicon(texts, "markdown")
+    texts = redact_column(texts, "markdown", lexicon=lexicon).select(F.lit("markdown").alias("field"), F.col("job_id").alias("rec_id"), F.col("markdown").alias("text"))
+    for c in ("value", "source"):
+        judge = table(spark, sf_dir, "judgment_analyses").select(F.lit(f"judge.{c}").alias("field"), F.col("analysis_id").alias("rec_id"), F.col(f"judge.{c}").alias("text")).distinct()
+        texts = texts.unionByName(redact_column(judge, "text", loose_names=True))
+    return texts
+
+
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoglio.llm.canonical import canonicalize
 
@@ -88,7 +113,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
