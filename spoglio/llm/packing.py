@@ -69,7 +69,7 @@ def measure(text: str | None, vocabulary: str = VOCABULARY) -> tuple[int, list[i
 class Bm25Shard:
     """Inverted index of one shard with global statistics. Queries are a document's `query_terms` terms of most weight."""
 
-    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], idf: np.ndarray, avg_len: float, query_terms: int = 24, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], idf: np.ndarray, avg_len: float, query_terms: int = 16, k1: float = 1.2, b: float = 0.75) -> None:
         sizes = np.array([len(t) for t in terms])
         term = np.concatenate(terms) if len(terms) else np.zeros(0, int)
         f = (np.concatenate(tf) if len(tf) else np.zeros(0)).astype(np.float64)
@@ -86,22 +86,19 @@ class Bm25Shard:
             self.query.append(t[np.argsort(-w, kind="stable")[:query_terms]] if n else t)
             at += n
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """All documents that share a query term with the seed, by falling score."""
-        scores = np.zeros(self.n, dtype=np.float32)
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document of the shard for the seed's query terms; 0 without a common one."""
+        out = np.zeros(self.n, dtype=np.float32)
         for t in self.query[seed]:
             a, z = self.start[t], self.start[t + 1]
-            scores[self.doc[a:z]] += self.weight[a:z]
-        scores[seed] = 0
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+            out[self.doc[a:z]] += self.weight[a:z]
+        return out
 
 
 def pack_shard(sizes: np.ndarray, index: Bm25Shard, capacity: int) -> tuple[np.ndarray, int]:
     """(container number of each document's last part, number of containers). sizes: what is left to pack of each
-    document, 1..capacity, or 0 for nothing. A neighbour is taken in the order of its score if it fits and isn't
-    so small that the gap would rather take a larger one: at least a fifth of the gap, or the seed's window is
-    nearly full."""
+    document, 1..capacity, or 0 for nothing. The neighbour of best score that closes
+    nine tenths of the gap is taken first; otherwise the gap takes the largest unused documents that fit."""
     bins = np.full(len(sizes), -1, dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     by_size = sizes[order]
@@ -130,22 +127,19 @@ def pack_shard(sizes: np.ndarray, index: Bm25Shard, capacity: int) -> tuple[np.n
             continue
         use(seed, n)
         gap = capacity - int(sizes[seed])
-        if gap >= smallest:
-            near = index.neighbours(seed)
-            near = near[(bins[near] < 0) & (sizes[near] > 0) & (sizes[near] <= gap)]
-            for d in near:
-                s = int(sizes[d])
-                if s <= gap and s * 5 >= gap:
-                    use(int(d), n)
-                    gap -= s
-                    if gap < smallest:
-                        break
+        scores = index.scores(seed) if gap >= smallest else None
         while gap >= smallest:
-            q = unused_at_most(int(np.searchsorted(by_size, gap, "right")))
-            if q <= empty:
-                break
-            use(int(order[q - 1]), n)
-            gap -= int(by_size[q - 1])
+            top = int(np.searchsorted(by_size, gap, "right"))
+            near = order[int(np.searchsorted(by_size, gap * 9 // 10)) : top]
+            near = near[bins[near] < 0]
+            d = int(near[scores[near].argmax()]) if len(near) else -1
+            if d < 0 or scores[d] == 0 or sizes[d] == 0:
+                q = unused_at_most(top)
+                if q <= empty:
+                    break
+                d = int(order[q - 1])
+            use(d, n)
+            gap -= int(sizes[d])
         n += 1
     return bins, n
 
@@ -153,7 +147,7 @@ def pack_shard(sizes: np.ndarray, index: Bm25Shard, capacity: int) -> tuple[np.n
 PACKED = "container string, capacity int, shard int, bin int, doc_id long, part int, from_token long, n_tokens int"
 
 
-def pack_documents(docs: DataFrame, containers: DataFrame, shard_docs: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_documents(docs: DataFrame, containers: DataFrame, shard_docs: int = 4096, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs (doc_id, text) and containers (container, capacity_tokens) -> one row for each part of each document
     in each kind of container: container, capacity, shard, bin (from 0 in the shard), doc_id, part (from 0),
     from_token, n_tokens. Documents are cut only if they alone exceed the capacity, then into full containers and
