@@ -86,6 +86,17 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoglio.llm.linkage import link_entries
+
+    acts = table(spark, sf_dir, "canonical_values").where("list_name = 'act_title'")
+    return link_entries(table(spark, sf_dir, "index_entries"), table(spark, sf_dir, "casefile_documents"), acts)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_links(spark, sf_dir).select("entry_id", "case_doc_id")
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoglio.llm.packing import pack_documents
 
@@ -113,7 +124,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_links": p5_links, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
