@@ -86,6 +86,25 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from spoglio.llm.ocr_repair import find_noise
+
+    a, b = (table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "job_id", "markdown") for t in ("sanitize_results", "structure_results"))
+    texts = a.unionByName(b)
+    return texts, find_noise(texts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noise(spark, sf_dir)[1].select("table_name", "job_id", "kind", "line_no", "word").distinct()
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as continuous paragraphs."""
+    from spoglio.llm.ocr_repair import repair
+
+    return repair(*_noise(spark, sf_dir))
+
+
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoglio.llm.linkage import link_entries
 
@@ -124,7 +143,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_links": p5_links, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
