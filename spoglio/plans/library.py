@@ -1 +1,136 @@
+"""Queries over Markdown texts and judgments, with SQL where it can say the same."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spoglio.catalog import query
+from spoglio.functions import text as T
+from spoglio.operators import judgments as J
+from spoglio.operators import markdown as M
+from spoglio.plans.casefile import FOLD, read, src
+from spoglio.session import table
+
+TEXTS, STRUCT = src("sanitize_results"), src("structure_results")
+LINES = f"(SELECT job_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT job_id, string_split(markdown, chr(10)) AS l FROM {TEXTS} WHERE markdown IS NOT NULL))"
+
+
+@query("line_relation", f"SELECT job_id, line_no, line FROM {LINES}")
+def line_relation(spark, d):
+    return M.lines(read(spark, d, "sanitize_results"), "job_id")
+
+
+@query("page_of_line", f"SELECT job_id, line_no, last_value(TRY_CAST(nullif(regexp_extract(line, '(?i)\\bpag(?:ina)?\\.?\\s+(\\d+)\\b', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS page FROM {LINES}")
+def page_of_line(spark, d):
+    return M.page_of_line(M.lines(read(spark, d, "sanitize_results"), "job_id"), "job_id").select("job_id", "line_no", "page")
+
+
+@query("isolated_lines", f"SELECT job_id, line_no, line FROM (SELECT *, trim(lag(line, 1, '') OVER w) AS b, trim(lead(line, 1, '') OVER w) AS a FROM {LINES} WINDOW w AS (PARTITION BY job_id ORDER BY line_no)) WHERE trim(line) <> '' AND a = '' AND b = ''")
+def isolated_lines(spark, d):
+    return M.isolated(M.lines(read(spark, d, "sanitize_results"), "job_id"), "job_id")
+
+
+@query("uppercase_titles", f"SELECT job_id, line_no FROM {LINES} WHERE NOT regexp_matches(trim(line), '[.;,]$') AND len(regexp_split_to_array(trim(line), '\\s+')) BETWEEN 2 AND 16 AND len(regexp_extract_all(line, '\\p{{L}}')) >= 6 AND len(regexp_extract_all(line, '\\p{{Lu}}')) >= len(regexp_extract_all(line, '\\p{{L}}')) * 0.85")
+def uppercase_titles(spark, d):
+    return M.lines(read(spark, d, "sanitize_results"), "job_id").where(M.uppercase_title(F.col("line"))).select("job_id", "line_no")
+
+
+@query("line_flags", f"SELECT job_id, line_no, regexp_matches(line, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z]{{2,}}') AS has_email, regexp_matches(line, '(?i)(https?://|www\\.)') AS has_url, regexp_matches(line, '\\b[0-9a-fA-F]{{24,}}\\b') AS has_hash, regexp_matches(line, '^#{{1,6}}\\s+\\S') AS is_heading FROM {LINES}")
+def line_flags(spark, d):
+    line = F.col("line")
+    return M.lines(read(spark, d, "sanitize_results"), "job_id").select(
+        "job_id", "line_no", line.rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}").alias("has_email"), line.rlike(r"(?i)(https?://|www\.)").alias("has_url"), line.rlike(r"\b[0-9a-fA-F]{24,}\b").alias("has_hash"), line.rlike(r"^#{1,6}\s+\S").alias("is_heading"))
+
+
+@query("fold_text", f"SELECT job_id, md5({FOLD.format('markdown')}) AS folded FROM {TEXTS} WHERE markdown IS NOT NULL")
+def fold_text(spark, d):
+    return read(spark, d, "sanitize_results").where("markdown is not null").select("job_id", F.md5(T.fold(F.col("markdown"))).alias("folded"))
+
+
+@query("sanitized", f"SELECT job_id, md5(markdown) AS digest, CAST(len(regexp_extract_all(markdown, '(?i)data:image/[a-z0-9.+-]+;base64,[a-z0-9+/_=-]+')) AS INTEGER) AS embedded_images_removed, CAST(0 AS INTEGER) AS long_base64_lines_removed FROM {TEXTS} WHERE markdown IS NOT NULL AND NOT contains(markdown, 'data:image')")
+def sanitized(spark, d):
+    return M.sanitize(read(spark, d, "sanitize_results").where("markdown is not null and not contains(markdown, 'data:image')")).select("job_id", F.md5("markdown").alias("digest"), "embedded_images_removed", "long_base64_lines_removed")
+
+
+@query("promoted_headings")
+def promoted_headings(spark, d):
+    return M.add_headings(read(spark, d, "sanitize_results")).select("job_id", "markdown", "headings_added")
+
+
+@query("act_outline")
+def act_outline(spark, d):
+    return M.act_outline(read(spark, d, "sanitize_results"), "job_id", need_blocks=False)
+
+
+@query("bookmarks")
+def bookmarks(spark, d):
+    texts = read(spark, d, "structure_results").where("markdown is not null").withColumn("pages", F.ceil(F.length("markdown") / 1800))
+    return M.bookmarks(texts, "job_id", "pages")
+
+
+@query("heading_counts", f"SELECT job_id, count(*) FILTER (regexp_matches(line, '^#{{1,6}}\\s+\\S')) AS n_headings, count(*) AS n_lines, count(*) FILTER (trim(line) = '') AS n_blank, max(length(line)) AS longest FROM (SELECT job_id, unnest(string_split(markdown, chr(10))) AS line FROM {STRUCT} WHERE markdown IS NOT NULL) GROUP BY ALL")
+def heading_counts(spark, d):
+    rel = M.lines(read(spark, d, "structure_results"), "job_id")
+    return rel.groupBy("job_id").agg(F.count_if(F.col("line").rlike(r"^#{1,6}\s+\S")).alias("n_headings"), F.count("*").alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_blank"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+@query("merged_texts", f"""SELECT casefile_id, md5(string_agg('<!-- Blocco ' || r || ': pagine originali ' || r || '-' || r || ' -->' || chr(10) || chr(10) || trim(coalesce(markdown, '')), chr(10) || chr(10) ORDER BY r)) AS digest, count(*) AS n_blocks FROM (SELECT *, row_number() OVER (PARTITION BY casefile_id ORDER BY job_id) AS r FROM {STRUCT}) GROUP BY ALL""")
+def merged_texts(spark, d):
+    from pyspark.sql import Window
+
+    blocks = read(spark, d, "structure_results").withColumn("r", F.row_number().over(Window.partitionBy("casefile_id").orderBy("job_id")))
+    return M.merge_blocks(blocks, "casefile_id", "r", "r", "r").select("casefile_id", F.md5("markdown").alias("digest"), "n_blocks")
+
+
+CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(line, '^\\s*#{1,6}\\s*', ''), '[*_`]+', '', 'g'), '\\s+', ' ', 'g'))"
+SENT, PROC = J.SENTENCE.replace("(?iu)", "(?i)"), J.PROCEEDING.replace("(?iu)", "(?i)")
+
+
+@query("judgment_numbers", f"""SELECT job_id, arg_min(regexp_extract(t, '{SENT}', 1), line_no) FILTER (regexp_matches(t, '{SENT}')) AS sentence_number, arg_min(regexp_extract(t, '{PROC}', 1), line_no) FILTER (regexp_matches(t, '{PROC}') AND NOT contains(lower(t), 'sentenza')) AS proceeding_number FROM (SELECT *, {CLEAN} AS t FROM {LINES}) GROUP BY ALL""")
+def judgment_numbers(spark, d):
+    t = J.clean_line(F.col("line"))
+    rel = M.lines(read(spark, d, "sanitize_results"), "job_id").withColumn("t", t)
+    s, p = T.first_match(F.col("t"), J.SENTENCE, 1), T.first_match(F.col("t"), J.PROCEEDING, 1)
+    n = F.col("line_no")
+    return rel.groupBy("job_id").agg(F.min_by(s, F.when(s.isNotNull(), n)).alias("sentence_number"), F.min_by(p, F.when(p.isNotNull() & ~F.lower("t").contains("sentenza"), n)).alias("proceeding_number"))
+
+
+@query("judgment_fields")
+def judgment_fields(spark, d):
+    return J.judgment_fields(read(spark, d, "sanitize_results"), "job_id")
+
+
+JUDGED = src("judgment_analyses")
+
+
+@query("judgment_missing", "SELECT analysis_id, missing FROM (" + " UNION ALL ".join(f"SELECT analysis_id, '{label}' AS missing FROM {JUDGED} WHERE detected AND coalesce({c}.value, 'non rilevata') = 'non rilevata'" for c, label in {**J._LABELS, "motivation_type": "motivazione"}.items())
+       + f" UNION ALL SELECT analysis_id, 'termine motivazione' FROM {JUDGED} WHERE detected AND motivation_type.value = 'riservata' AND motivation_deadline IS NULL)")
+def judgment_missing(spark, d):
+    return J.missing_fields(read(spark, d, "judgment_analyses"), "analysis_id")
+
+
+@query("judgment_cards", "SELECT analysis_id, concat_ws(chr(10), " + ", ".join(f"'- {label}: ' || coalesce(CASE WHEN {c}.confidence = 'high' THEN {c}.value ELSE {c}.value || ' (' || {c}.confidence || ')' END, 'non rilevato')" for c, label in J._LABELS.items()) + f") AS card FROM {JUDGED} WHERE detected")
+def judgment_cards(spark, d):
+    return J.card(read(spark, d, "judgment_analyses"), "analysis_id")
+
+
+@query("judgment_outcomes", f"SELECT coalesce(outcome.value, 'nessuno') AS outcome, outcome.confidence AS confidence, count(*) AS n FROM {JUDGED} WHERE detected GROUP BY ALL")
+def judgment_outcomes(spark, d):
+    return read(spark, d, "judgment_analyses").where("detected").groupBy(F.coalesce("outcome.value", F.lit("nessuno")).alias("outcome"), F.col("outcome.confidence").alias("confidence")).agg(F.count("*").alias("n"))
+
+
+@query("judgment_keywords", f"SELECT lower(trim(k)) AS keyword, count(*) AS n_judgments FROM (SELECT DISTINCT analysis_id, unnest(list_distinct([lower(x) for x in dispositive_keywords])) AS k FROM {JUDGED}) GROUP BY ALL")
+def judgment_keywords(spark, d):
+    k = read(spark, d, "judgment_analyses").select("analysis_id", F.explode(F.array_distinct(F.transform("dispositive_keywords", lambda x: F.lower(x)))).alias("k")).distinct()
+    return k.groupBy(F.lower(F.trim("k")).alias("keyword")).agg(F.count("*").alias("n_judgments"))
+
+
+@query("document_duplicates", "SELECT doc_id, first_doc FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc FROM documents WHERE text IS NOT NULL) WHERE doc_id <> first_doc")
+def document_duplicates(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    return docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1"), "h").where("doc_id <> first_doc").select("doc_id", "first_doc")
+
+
+@query("source_profile", "SELECT coalesce(source, '') AS source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (lang IS NULL) AS unlabelled, max(n_chars) AS longest FROM documents GROUP BY ALL")
+def source_profile(spark, d):
+    return table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"), F.count_if(F.col("lang").isNull()).alias("unlabelled"), F.max("n_chars").alias("longest"))
