@@ -27,14 +27,17 @@ def fold(c: Column) -> Column:
     return F.replace(F.translate(F.lower(c), _FROM, _TO), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
-def fold_any(texts: pd.Series) -> pd.Series:
+def fold_any(c: Column) -> Column:
     """Compatibility decomposition, case folding and removal of combining marks, for any script (Arrow batches)."""
 
     def one(t: str) -> str:
         return "".join(x for x in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(x))
 
-    return texts.map(one, na_action="ignore")
+    @F.pandas_udf("string")
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return each(c)
 
 
 def squeeze(c: Column) -> Column:
