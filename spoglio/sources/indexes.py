@@ -155,7 +155,7 @@ def parse_indexes(files: DataFrame) -> DataFrame:
                 except Exception as error:  # data must not stop the job
                     rows.append({**base, "warning": f"index_parse_error: {type(error).__name__}"})
             names = [c.split()[0] for c in ENTRIES.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"row_number": "Int32"})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("casefile_id", "relative_path", "extension", "size_bytes", "content").mapInPandas(parse, ENTRIES)
 
@@ -215,6 +215,6 @@ def parse_acts(files: DataFrame) -> DataFrame:
             for case, path, content in zip(batch["casefile_id"], batch["relative_path"], batch["content"]):
                 if content is not None and path.endswith("ListaAllegati.html"):
                     rows.append({"casefile_id": case, "index_path": path, **act_metadata(decode(bytes(content)))})
-            yield pd.DataFrame(rows, columns=names).astype({"faldone_number": "Int32", "total_pages": "Int32", "pg_progressive": "Int32"})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("casefile_id", "relative_path", "content").mapInPandas(parse, ACTS)
