@@ -8,7 +8,7 @@ import numpy as np
 class Boosted:
     def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, least: int = 8, penalty: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.least, self.penalty = rounds, depth, rate, bins, least, penalty
-        self.trees: list[list[tuple[int, float, int, int, float]]] = []  # (feature or -1, threshold, left, right, value)
+        self.trees: list = []  # each: arrays of feature or -1, threshold, left, right, value
         self.base = 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -24,6 +24,7 @@ class Boosted:
             tree: list[tuple[int, float, int, int, float]] = []
             self._grow(tree, np.arange(len(y)), binned, cuts, g, h, score, 0)
             self.trees.append(tree)
+        self.trees = [tuple(np.array(c) for c in zip(*tree)) for tree in self.trees]
         return self
 
     def _grow(self, tree, rows, binned, cuts, g, h, score, level) -> int:
@@ -58,7 +59,7 @@ class Boosted:
         x = np.asarray(x, dtype=float)
         score = np.full(len(x), self.base)
         for tree in self.trees:
-            feature, cut, left, right, value = (np.array(c) for c in zip(*tree))
+            feature, cut, left, right, value = tree
             at = np.zeros(len(x), dtype=int)
             while (feature[at] >= 0).any():
                 inner = feature[at] >= 0

@@ -149,10 +149,10 @@ def train_ranker(lang: Language, sample: int = 4000, seed: int = 3) -> Boosted:
     return Boosted().fit(np.array(x), np.array(y)) if x and any(y) and not all(y) else Boosted(rounds=0).fit(np.zeros((1, 12)), np.zeros(1))
 
 
-def join_features(lang: Language, left: str, right: str, mark: str, before: str, after: str) -> list[float]:
+def join_features(lang: Language, left: str, right: str) -> list[float]:
     """Of reading a word cut at a line end with a hyphen of its own."""
     whole, kept = (left + right).lower(), f"{left}-{right}".lower()
-    return [lang.share(whole), lang.share(kept), lang.share(left.lower()), lang.share(right.lower()), float(mark == "-"), len(left), len(right)]
+    return [lang.share(whole), lang.share(kept), lang.share(left.lower()), lang.share(right.lower()), len(left), len(right)]
 
 
 def train_joins(lang: Language, sample: int = 3000, seed: int = 5) -> Boosted:
@@ -164,16 +164,17 @@ def train_joins(lang: Language, sample: int = 3000, seed: int = 5) -> Boosted:
     for _ in range(sample if plain else 0):
         w = plain[rng.integers(len(plain))]
         i = int(rng.integers(2, len(w) - 1))
-        x.append(join_features(lang, w[:i], w[i:], "-", "", ""))
+        x.append(join_features(lang, w[:i], w[i:]))
         y.append(0)
         if compound:
             w = compound[rng.integers(len(compound))]
             i = w.index("-")
-            x.append(join_features(lang, w[:i], w[i + 1 :], "-", "", ""))
+            x.append(join_features(lang, w[:i], w[i + 1 :]))
             y.append(1)
-    return Boosted(rounds=20).fit(np.array(x), np.array(y)) if x else Boosted(rounds=0).fit(np.zeros((1, 7)), np.zeros(1))
+    return Boosted(rounds=20).fit(np.array(x), np.array(y)) if x else Boosted(rounds=0).fit(np.zeros((1, 6)), np.zeros(1))
 
 
+_PAGED = re.compile(r"\bpag\.?\s*[\dlIO]+$")
 _NUMBER_LINE = re.compile(r"\s*(?:[-–\[(]?\s*[\dlIO]{1,4}\s*[-–\])]?|(?:pag(?:ina|\.)?|p\.|f\.|fol\.|foglio)\s*[\dlIO]{1,4}(?:\s*(?:di|/|su)\s*[\dlIO]{1,4})?)\s*", re.IGNORECASE)
 _SURE = re.compile(r"\s*(?:pag(?:ina|\.)\s*\d+(?:\s*(?:di|/)\s*\d+)?|[-–]\s*\d+\s*[-–]|\[\d+\])\s*", re.IGNORECASE)
 
@@ -198,7 +199,7 @@ def line_features(lines: list[str], shares: dict[str, float] | None = None) -> l
     place = {i: k for k, i in enumerate(filled)}
     title = re.sub(r"^[#* ]+", "", lines[filled[0]]).strip().lower() if filled else ""
     widest = max((len(l) for l in lines), default=1)
-    number = [bool(_NUMBER_LINE.fullmatch(l)) and bool(m) for l, m in zip(lines, masks)]
+    number = [0 < len(m) < 30 and bool(_NUMBER_LINE.fullmatch(l)) for l, m in zip(lines, masks)]
     out: list[list[float] | None] = []
     for i, line in enumerate(lines):
         text = line.strip()
@@ -209,13 +210,13 @@ def line_features(lines: list[str], shares: dict[str, float] | None = None) -> l
         up = filled[k - 1] if k else None
         down = filled[k + 1] if k + 1 < len(filled) else None
         before, after = lines[up].strip() if up is not None else "", lines[down].strip() if down is not None else ""
-        letters = [c for c in text if c.isalpha()]
+        letters, capitals, digits = sum(map(str.isalpha, text)), sum(map(str.isupper, text)), sum(map(str.isdigit, text))
         lower_next = float(bool(after) and (after[0].islower() or after[0].isdigit()))
         out.append([
-            len(text), len(text) / widest, sum(c.isdigit() for c in text) / len(text), sum(c.isupper() for c in letters) / max(len(letters), 1), float(text[-1] in ".;:,"), float(number[i]),
+            len(text), len(text) / widest, digits / len(text), capitals / max(letters, 1), float(text[-1] in ".;:,"), float(number[i]),
             float(up is not None and number[up]), float(down is not None and number[down]), float(k < 2), float(up is None), float(down is None),
             float(up is not None and i - up == 1), float(down is not None and down - i == 1), float(bool(before) and before[-1] not in ".;:!?*"), lower_next,
-            min(times[masks[i]], 5), float(bool(re.search(r"\bpag\.?\s*[\dlIO]+$", text))), float(" - " in text or " / " in text), float(bool(re.search(r"\d+(?:-\d+)?/\d{2,4}", text))),
+            min(times[masks[i]], 5), float(bool(_PAGED.search(text[-12:]))), float(" - " in text or " / " in text), float("/" in text and bool(re.search(r"\d/\d{2,4}", text))),
             float(bool(_HEADING.match(line))), float(text[0].islower()), len(_WORD.findall(text)), float(bool(re.match(r"(?:fascicolo|proc\.|procedimento|r\.g\.|n\.)", text, re.IGNORECASE))),
             float(header(text)), float(k > 1 and text.lower().startswith(title)),
         ])
@@ -259,13 +260,16 @@ def train_lines(texts: list[str]) -> Boosted:
     return Boosted(rounds=50, depth=5).fit(np.array(x), np.array(y)) if x and any(y) and not all(y) else Boosted(rounds=0).fit(np.zeros((1, 25)), np.zeros(1))
 
 
-def furniture_lines(lines: list[str], model: Boosted) -> set[int]:
-    features = line_features(lines)
-    at = [i for i, f in enumerate(features) if f is not None]
-    if not at:
-        return set()
-    p = model.predict(np.array([features[i] for i in at]))
-    return {i for i, v in zip(at, p) if v >= 0.5}
+def furniture_lines(texts: list[list[str]], model: Boosted) -> list[set[int]]:
+    """The furniture of each of several texts, whose lines are classified together."""
+    features = [line_features(lines) for lines in texts]
+    at = [(k, i) for k, fs in enumerate(features) for i, f in enumerate(fs) if f is not None]
+    out: list[set[int]] = [set() for _ in texts]
+    if at:
+        for (k, i), p in zip(at, model.predict(np.array([features[k][i] for k, i in at]))):
+            if p >= 0.5:
+                out[k].add(i)
+    return out
 
 
 def core(word: str) -> str:
@@ -273,11 +277,9 @@ def core(word: str) -> str:
     return re.split(r"['’]", word)[-1]
 
 
-def scan_text(text: str, lang: Language, lines_model: Boosted, joins: Boosted, suspect_share: float) -> list[tuple[int, str, str, str, str, str, int, int]]:
+def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphen, suspect_share: float) -> list[tuple[int, str, str, str, str, str, int, int]]:
     """(line from 1, kind, word as right as it is known here, word as read, word before, word after, start in line, end) of
     furniture, splits and suspects."""
-    lines = text.split("\n")
-    furniture = furniture_lines(lines, lines_model)
     out = [(i + 1, "furniture", "", lines[i].strip(), "", "", 0, len(lines[i])) for i in sorted(furniture)]
     prose = [i for i in range(len(lines)) if i not in furniture and lines[i].strip()]
     tokens: list[tuple[int, int, int, str]] = []  # line, start, end, word
@@ -285,7 +287,7 @@ def scan_text(text: str, lang: Language, lines_model: Boosted, joins: Boosted, s
     cuts = []
     for k, i in enumerate(prose):
         start = skip_head.get(i, 0)
-        m = _CUT.search(lines[i])
+        m = _CUT.search(lines[i]) if lines[i].rstrip()[-1] in "-¬­‐" else None
         if m and k + 1 < len(prose) and m.start() >= start:
             j = prose[k + 1]
             head = _HEAD.match(lines[j])
@@ -301,7 +303,7 @@ def scan_text(text: str, lang: Language, lines_model: Boosted, joins: Boosted, s
             tokens.append((i, m.start(), m.end(), m[0].lower()))
         if cut:
             left, right = core(cut[2][1]), cut[3][1]
-            keep = cut[4] == "-" and joins.predict(np.array([join_features(lang, left, right, cut[4], "", "")]))[0] >= 0.5
+            keep = cut[4] == "-" and keeps_hyphen(left, right)
             word = (f"{left}-{right}" if keep else left + right).lower()
             tokens.append((i, -1, cut[1], word))
     for n, (i, a, z, word) in enumerate(tokens):
@@ -309,15 +311,17 @@ def scan_text(text: str, lang: Language, lines_model: Boosted, joins: Boosted, s
         if a == -1:
             out.append((i + 1, "split", word, word, before, after, by_line[i][2].start(), len(lines[i])))
             continue
-        if word.isdigit() or not any(c.isalpha() for c in word):
+        plain = word.isalpha()
+        if not plain and not any(c.isalpha() for c in word):
             continue
         share = lang.words.get(word, 0.0)
-        if share < suspect_share or any(c.isdigit() for c in word):
+        if share < suspect_share or not plain and any(c.isdigit() for c in word):
             out.append((i + 1, "suspect", word, word, before, after, a, z))
         if n + 1 < len(tokens) and tokens[n + 1][0] == i and tokens[n + 1][1] == z + 1 and lines[i][z] == " ":
             whole = word + after
-            low = min(share, lang.words.get(after, 0.0))
-            if after.isalpha() and word.isalpha() and len(whole) > 4 and lang.words.get(whole, 0.0) > max(20 * low, suspect_share) and lines[i][z + 1].islower() == (lines[i][z - 1].islower()):
+            joined = lang.words.get(whole, 0.0)
+            low = min(share, lang.words.get(after, 0.0)) if joined else 0.0
+            if joined and after.isalpha() and plain and len(whole) > 4 and joined > max(20 * low, suspect_share) and lines[i][z + 1].islower() == (lines[i][z - 1].islower()):
                 nxt = tokens[n + 2][3] if n + 2 < len(tokens) else ""
                 out.append((i + 1, "gap", whole, f"{word} {after}", before, nxt, a, tokens[n + 1][2]))
     return out
@@ -354,6 +358,7 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
         yield pd.DataFrame(list(words.items()), columns=["word", "n"])
 
     counted = texts.select("markdown").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "noise-counts")
     # at most the mean number of different words and pairs of a text / known_share
     often = counted.where(F.col("n") >= max(3, known_share * n)).toPandas()
     lang = Language(
@@ -366,8 +371,17 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lang, lines_model, joins, _ = shared.value
+        known: dict[tuple[str, str], bool] = {}
+
+        def keeps_hyphen(left: str, right: str) -> bool:
+            if (left, right) not in known:
+                known[left, right] = bool(joins.predict(np.array([join_features(lang, left, right)]))[0] >= 0.5)
+            return known[left, right]
+
         for batch in batches:
-            rows = [(name, job, *r) for name, job, t in zip(batch["table_name"], batch["job_id"], batch["markdown"]) for r in scan_text(t, lang, lines_model, joins, suspect_share)]
+            texts = [t.split("\n") for t in batch["markdown"]]
+            gone = [g for i in range(0, len(texts), 200) for g in furniture_lines(texts[i : i + 200], lines_model)]
+            rows = [(name, job, *r) for name, job, lines, g in zip(batch["table_name"], batch["job_id"], texts, gone) for r in scan_text(lines, g, lang, keeps_hyphen, suspect_share)]
             yield pd.DataFrame(rows, columns=["table_name", "job_id", "line_no", "kind", "word", "seen", "before", "after", "a", "z"])
 
     found = materialize(texts.mapInPandas(look, FOUND), "noise-found")
@@ -381,7 +395,7 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
     near = left.join(right, ["gram", "size"]).groupBy("word", "candidate").agg(F.count("*").alias("common"))
     near = near.where((F.col("common") >= longest + 1 - F.when(longest > 5, 4).otherwise(3)) & (F.col("word") != F.col("candidate")))
     near = near.groupBy("word").agg(F.collect_list("candidate").alias("candidates"))  # words within two confusions of one word
-    shares = counted.where("n > 0").select("word", (F.col("n") / n).alias("share"))
+    shares = counted.where("not contains(word, ' ')").select("word", (F.col("n") / n).alias("share"))
     open_ = found.where("kind in ('suspect', 'split')").join(near, "word", "left").join(shares, "word", "left")
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
