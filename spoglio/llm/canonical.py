@@ -49,8 +49,9 @@ def words(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def readings(value: str) -> list[str]:
-    """The forms in which a value is searched, each as words joined by spaces with "." after an abbreviated one."""
+def readings(value: str) -> list[tuple[str, float]]:
+    """The forms in which a value is searched, each as words joined by spaces with "." after an abbreviated one, and the edits
+    that the form itself takes: short words that may be a misspelt article or preposition are also left out."""
     text = NOISE.sub("", _PREFIX.sub("", fold(value)))
     orders = [text]
     m = re.fullmatch(r"(.*?)\s*\(([^()]*)\)\W*", text)
@@ -64,8 +65,11 @@ def readings(value: str) -> list[str]:
         got = words(o)
         if got and got[0][0] in ACRONYMS:
             got = [(w, False) for w in ACRONYMS[got[0][0]].split()] + got[1:]
-        if got:
-            out.append(" ".join(w + "." * dot for w, dot in got))
+        odd = {k for k, (w, dot) in enumerate(got) if not dot and len(w) <= 5 and any(len(w) - len(s) <= 1 and len(s) > 1 and edits(w, s) == 1 for s in STOP)}
+        for skip in (set(), odd) if odd else (set(),):
+            kept = [x for k, x in enumerate(got) if k not in skip]
+            if kept:
+                out.append((" ".join(w + "." * dot for w, dot in kept), float(len(skip))))
     return list(dict.fromkeys(out))
 
 
@@ -111,9 +115,10 @@ class Trie:
 
     def _search(self, value: str) -> tuple[tuple[float, int], ...]:
         best: dict[int, float] = {}
-        for reading in readings(value):
+        for reading, taken in readings(value):
             near: dict[int, float] = {}
             self._walk(reading, near)
+            near = {n: d + taken for n, d in near.items() if d + taken <= allowed(len(reading)) + 0.5}
             last = reading.split()[-1].rstrip(".")
             for n, d in near.items():
                 # three edits may be spread over a long value but not sit in one word of it
@@ -169,7 +174,7 @@ class Trie:
                     for j in ends:
                         cost = new[j] + (0.01 if j in dots else 0.3)
                         if cost <= limit + 0.31 and (j in dots or depth >= 2) and new[j] < 1.5 and cost < known.get(j, far):
-                            if new[j] < 0.95 or depth >= (2 if j in dots else 3):
+                            if new[j] < 0.95 or depth >= (2 if j in dots else 3) or depth == 0 and j in dots and text[j - 1] == c:
                                 known = {**known, j: cost} if known is early else known | {j: cost}
                     todo.append((child, new, row, c, depth + 1, known))
 

@@ -282,7 +282,7 @@ def link_entries(entries: DataFrame, files: DataFrame, acts: DataFrame) -> DataF
         "entry_id", "casefile_id", "unit",
         F.explode(F.array_distinct(F.concat(
             F.transform("days", lambda x: key("D", t, x)), F.transform("numbers", lambda x: key("R", t, x)),
-            F.transform("persons", lambda x: key("S", t, F.substring(x, 1, 5))), F.transform("persons", lambda x: key("E", t, F.substring(x, -5, 5))),
+            F.transform("persons", lambda x: key("S", t, F.substring(x, 1, 3))), F.transform("persons", lambda x: key("E", t, F.substring(x, -3, 3))),
             F.array_compact(F.array(key("N", F.col("ref_name")))), F.filter(F.array(F.when(F.col("main_of").isNotNull(), key("M", F.col("main_of")))), lambda x: x.isNotNull()),
         ))).alias("key"),
     )
@@ -290,7 +290,7 @@ def link_entries(entries: DataFrame, files: DataFrame, acts: DataFrame) -> DataF
     title = F.col("title")
     d_keys = d.select("case_doc_id", "casefile_id", "file_unit", F.explode(F.array_compact(F.array(
         F.when(F.col("day").isNotNull(), key("D", title, F.col("day"))), F.when(F.col("number").isNotNull(), key("R", title, F.col("number"))),
-        F.when(F.col("person").isNotNull(), key("S", title, F.substring("person", 1, 5))), F.when(F.col("person").isNotNull(), key("E", title, F.substring("person", -5, 5))),
+        F.when(F.col("person").isNotNull(), key("S", title, F.substring("person", 1, 3))), F.when(F.col("person").isNotNull(), key("E", title, F.substring("person", -3, 3))),
         F.when(F.col("name").isNotNull(), key("N", F.col("name"))), F.when(F.col("is_main"), key("M", F.col("file_unit"))),
     ))).alias("key"))
     # an index in a unit meets that unit's files, an index at the root those of the whole folder
