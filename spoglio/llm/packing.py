@@ -176,8 +176,18 @@ def pack_documents(docs: DataFrame, containers: DataFrame, shard_docs: int = 409
                 n += 1
         yield pd.DataFrame({"df": [df.tobytes()], "n": [n], "length": [length]})
 
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, length = np.zeros(TERMS, dtype=np.int64), 0, 0
+        for batch in batches:
+            for own in batch["df"]:
+                df += np.frombuffer(own, dtype=np.int64)
+            n, length = n + int(batch["n"].sum()), length + int(batch["length"].sum())
+        yield pd.DataFrame({"df": [df.tobytes()], "n": [n], "length": [length]})
+
+    # each task gives one vector; a few tasks add them up, so that as many reach the driver at any size
+    row = "df binary, n long, length long"
     df, n_docs, length = np.zeros(TERMS, dtype=np.int64), 0, 0
-    for r in feats.mapInPandas(frequencies, "df binary, n long, length long").toLocalIterator():  # one row a task
+    for r in feats.mapInPandas(frequencies, row).repartition(8).mapInPandas(add, row).toLocalIterator():
         df += np.frombuffer(r.df, dtype=np.int64)
         n_docs, length = n_docs + r.n, length + r.length
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
