@@ -69,6 +69,8 @@ class Language:
 
     def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float]) -> None:
         self.words, self.pairs = words, pairs
+        # a gap's joined word is in twenty times as many texts as one of its parts, so no part of both is in one of twenty
+        self.frequent = frozenset(w for w, share in words.items() if share >= 0.05 and w.isalpha())
 
     def share(self, word: str) -> float:
         return math.log10(self.words.get(word, 0.0) + 1e-6)
@@ -174,6 +176,7 @@ def train_joins(lang: Language, sample: int = 3000, seed: int = 5) -> Boosted:
     return Boosted(rounds=20).fit(np.array(x), np.array(y)) if x else Boosted(rounds=0).fit(np.zeros((1, 6)), np.zeros(1))
 
 
+_OPENING = re.compile(r"(?:fascicolo|proc\.|procedimento|r\.g\.|n\.)", re.IGNORECASE)
 _PAGED = re.compile(r"\bpag\.?\s*[\dlIO]+$")
 _NUMBER_LINE = re.compile(r"\s*(?:[-–\[(]?\s*[\dlIO]{1,4}\s*[-–\])]?|(?:pag(?:ina|\.)?|p\.|f\.|fol\.|foglio)\s*[\dlIO]{1,4}(?:\s*(?:di|/|su)\s*[\dlIO]{1,4})?)\s*", re.IGNORECASE)
 _SURE = re.compile(r"\s*(?:pag(?:ina|\.)\s*\d+(?:\s*(?:di|/)\s*\d+)?|[-–]\s*\d+\s*[-–]|\[\d+\])\s*", re.IGNORECASE)
@@ -188,7 +191,7 @@ _HEADER = re.compile(
 
 def header(text: str) -> bool:
     """Whether a line has the form of a running header: parts set off by dashes or strokes, one of them a number, no sentence."""
-    return len(text) < 85 and (text[-1] not in ".,;:" or text.upper().endswith("R.G.N.R.")) and text[0] not in "-*#" and bool(_HEADER.fullmatch(text))
+    return len(text) < 85 and (" - " in text or " / " in text) and (text[-1] not in ".,;:" or text.upper().endswith("R.G.N.R.")) and text[0] not in "-*#" and bool(_HEADER.fullmatch(text))
 
 
 def line_features(lines: list[str], shares: dict[str, float] | None = None) -> list[list[float] | None]:
@@ -216,8 +219,8 @@ def line_features(lines: list[str], shares: dict[str, float] | None = None) -> l
             len(text), len(text) / widest, digits / len(text), capitals / max(letters, 1), float(text[-1] in ".;:,"), float(number[i]),
             float(up is not None and number[up]), float(down is not None and number[down]), float(k < 2), float(up is None), float(down is None),
             float(up is not None and i - up == 1), float(down is not None and down - i == 1), float(bool(before) and before[-1] not in ".;:!?*"), lower_next,
-            min(times[masks[i]], 5), float(bool(_PAGED.search(text[-12:]))), float(" - " in text or " / " in text), float("/" in text and bool(re.search(r"\d/\d{2,4}", text))),
-            float(bool(_HEADING.match(line))), float(text[0].islower()), len(_WORD.findall(text)), float(bool(re.match(r"(?:fascicolo|proc\.|procedimento|r\.g\.|n\.)", text, re.IGNORECASE))),
+            min(times[masks[i]], 5), float("ag" in text[-12:] and bool(_PAGED.search(text[-12:]))), float(" - " in text or " / " in text), float("/" in text and bool(re.search(r"\d/\d{2,4}", text))),
+            float(text[0] in "#*" and bool(_HEADING.match(line))), float(text[0].islower()), len(text.split()), float(text[0] in "FfPpRrNn" and bool(_OPENING.match(text))),
             float(header(text)), float(k > 1 and text.lower().startswith(title)),
         ])
     return out
@@ -282,7 +285,6 @@ def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphe
     furniture, splits and suspects."""
     out = [(i + 1, "furniture", "", lines[i].strip(), "", "", 0, len(lines[i])) for i in sorted(furniture)]
     prose = [i for i in range(len(lines)) if i not in furniture and lines[i].strip()]
-    tokens: list[tuple[int, int, int, str]] = []  # line, start, end, word
     skip_head: dict[int, int] = {}
     cuts = []
     for k, i in enumerate(prose):
@@ -296,34 +298,38 @@ def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphe
                 cuts.append((i, j, m, head, mark))
                 skip_head[j] = head.end()
     by_line = {c[0]: c for c in cuts}
+    # the words of each line, the word cut at its end joined
+    own: list[list[str]] = []
     for i in prose:
-        start, cut = skip_head.get(i, 0), by_line.get(i)
-        end = cut[2].start() if cut else len(lines[i])
-        for m in _WORD.finditer(lines[i], start, end):
-            tokens.append((i, m.start(), m.end(), m[0].lower()))
+        cut = by_line.get(i)
+        ws = _WORD.findall(lines[i][skip_head.get(i, 0) : cut[2].start() if cut else len(lines[i])].lower())
         if cut:
             left, right = core(cut[2][1]), cut[3][1]
-            keep = cut[4] == "-" and keeps_hyphen(left, right)
-            word = (f"{left}-{right}" if keep else left + right).lower()
-            tokens.append((i, -1, cut[1], word))
-    for n, (i, a, z, word) in enumerate(tokens):
-        before, after = tokens[n - 1][3] if n else "", tokens[n + 1][3] if n + 1 < len(tokens) else ""
-        if a == -1:
-            out.append((i + 1, "split", word, word, before, after, by_line[i][2].start(), len(lines[i])))
-            continue
-        plain = word.isalpha()
-        if not plain and not any(c.isalpha() for c in word):
+            ws.append((f"{left}-{right}" if cut[4] == "-" and keeps_hyphen(left, right) else left + right).lower())
+        own.append(ws)
+    for k, i in enumerate(prose):
+        ws, cut = own[k], by_line.get(i)
+        if not cut and all(w in lang.frequent or w.isdigit() for w in ws):
             continue
-        share = lang.words.get(word, 0.0)
-        if share < suspect_share or not plain and any(c.isdigit() for c in word):
-            out.append((i + 1, "suspect", word, word, before, after, a, z))
-        if n + 1 < len(tokens) and tokens[n + 1][0] == i and tokens[n + 1][1] == z + 1 and lines[i][z] == " ":
-            whole = word + after
-            joined = lang.words.get(whole, 0.0)
-            low = min(share, lang.words.get(after, 0.0)) if joined else 0.0
-            if joined and after.isalpha() and plain and len(whole) > 4 and joined > max(20 * low, suspect_share) and lines[i][z + 1].islower() == (lines[i][z - 1].islower()):
-                nxt = tokens[n + 2][3] if n + 2 < len(tokens) else ""
-                out.append((i + 1, "gap", whole, f"{word} {after}", before, nxt, a, tokens[n + 1][2]))
+        last = next((o[-1] for o in reversed(own[max(0, k - 3) : k]) if o), "")
+        following = next((o[0] for o in own[k + 1 : k + 4] if o), "")
+        at = [(m.start(), m.end()) for m in _WORD.finditer(lines[i], skip_head.get(i, 0), cut[2].start() if cut else len(lines[i]))]
+        for n, word in enumerate(ws):
+            before, after = ws[n - 1] if n else last, ws[n + 1] if n + 1 < len(ws) else following
+            if n == len(at):
+                out.append((i + 1, "split", word, word, before, after, cut[2].start(), len(lines[i])))
+                continue
+            plain, (a, z) = word.isalpha(), at[n]
+            if not plain and not any(c.isalpha() for c in word):
+                continue
+            share = lang.words.get(word, 0.0)
+            if share < suspect_share or not plain and any(c.isdigit() for c in word):
+                out.append((i + 1, "suspect", word, word, before, after, a, z))
+            if plain and n + 1 < len(at) and at[n + 1][0] == z + 1 and lines[i][z] == " " and not (word in lang.frequent and after in lang.frequent):
+                whole = word + after
+                joined = lang.words.get(whole, 0.0)
+                if joined > suspect_share and joined > 20 * min(share, lang.words.get(after, 0.0)) and after.isalpha() and len(whole) > 4 and lines[i][z + 1].islower() == lines[i][z - 1].islower():
+                    out.append((i + 1, "gap", whole, f"{word} {after}", before, ws[n + 2] if n + 2 < len(ws) else following, a, at[n + 1][1]))
     return out
 
 
@@ -349,11 +355,11 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
             for t in batch["markdown"]:
                 own = set()
                 for line in t.split("\n"):
-                    got = [m[0].lower() for m in _WORD.finditer(line)]
+                    got = _WORD.findall(line.lower())
                     if got and line.rstrip()[-1:] in "-¬­‐":
                         got.pop()
                     own.update(w for w in got if not w.isdigit())
-                    own.update(f"{x} {y}" for x, y in zip(got, got[1:]))
+                    own.update(map(" ".join, zip(got, got[1:])))
                 words.update(own)
         yield pd.DataFrame(list(words.items()), columns=["word", "n"])
 
