@@ -65,7 +65,7 @@ def readings(value: str) -> list[tuple[str, float]]:
         got = words(o)
         if got and got[0][0] in ACRONYMS:
             got = [(w, False) for w in ACRONYMS[got[0][0]].split()] + got[1:]
-        odd = {k for k, (w, dot) in enumerate(got) if not dot and len(w) <= 5 and any(len(w) - len(s) <= 1 and len(s) > 1 and edits(w, s) == 1 for s in STOP)}
+        odd = {k for k, (w, dot) in enumerate(got) if not dot and len(w) <= 5 and any(len(s) > 1 and w != s and within(w, s, 1) for s in STOP)}
         for skip in (set(), odd) if odd else (set(),):
             kept = [x for k, x in enumerate(got) if k not in skip]
             if kept:
@@ -91,6 +91,11 @@ def edits(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
+def within(a: str, b: str, limit: int) -> bool:
+    """Whether the edit distance is at most `limit`. An edit changes at most two members of the set of letters."""
+    return abs(len(a) - len(b)) <= limit and len(set(a) ^ set(b)) <= 2 * limit and edits(a, b) <= limit
+
+
 class _Node:
     __slots__ = ("next", "entry")
 
@@ -196,7 +201,9 @@ def canonicalize(values: DataFrame, id_col: str, value_col: str, entries: DataFr
     The list is read by the driver and its trie is built in every worker: it is meant for lists of up to some hundred
     thousand entries, not for tables that grow with the data."""
     listed = [(int(r.canon_id), r.canonical) for r in entries.select("canon_id", "canonical").dropna().orderBy("canon_id").collect()]
-    records = values.select(F.col(id_col).cast("long").alias("rec_id"), F.col(value_col).cast("string").alias("value")).where("rec_id is not null and value is not null").distinct()
+    records = values.select(F.col(id_col).cast("long").alias("rec_id"), F.col(value_col).cast("string").alias("value")).where("rec_id is not null and value is not null")
+    # a set number of partitions: the search costs far more than the few bytes by which they would be merged
+    records = records.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id").distinct()
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(listed)
@@ -204,6 +211,5 @@ def canonicalize(values: DataFrame, id_col: str, value_col: str, entries: DataFr
             got = [trie.find(v) for v in batch["value"]]
             yield batch.assign(canon_id=[g[0] for g in got], distance=[g[1] for g in got], n_candidates=[g[2] for g in got]).astype({"distance": "float64"})
 
-    # rows of one value meet in one task by chance only, yet a third of all rows may hold one value: the worker's cache
-    # answers repeats, so rows stay where they are and nothing is shuffled but for the distinct above
+    # a third of all rows may hold one value: they are spread by id, and the worker's cache answers repeats
     return records.mapInPandas(answer, "rec_id long, value string, canon_id int, distance double, n_candidates int")
