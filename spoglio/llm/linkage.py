@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoglio.llm.canonical import STOP, Trie, edits, fold
+from spoglio.llm.canonical import STOP, Trie, edits, fold, within
 from spoglio.session import materialize
 
 _MONTHS = "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split()
@@ -86,7 +86,7 @@ class Acts:
         t = re.sub(r"[^a-z0-9]", "", fold(token))
         got = self.like.get(t)
         if got is None:
-            got = t in STOP or len(t) < 3 or any(w.startswith(t) or abs(len(w) - len(t)) <= 2 and edits(t, w) <= 1 + (len(t) >= 8) or len(t) >= 4 and edits(t, w[: len(t)]) <= 1 for w in self.words)
+            got = t in STOP or len(t) < 3 or any(w.startswith(t) or within(t, w, 1 + (len(t) >= 8)) or len(t) >= 4 and within(t, w[: len(t)], 1) for w in self.words)
             if len(self.like) > 200_000:
                 self.like.clear()
             self.like[t] = got
@@ -100,7 +100,7 @@ class Acts:
             n, d, _ = self.trie.find(text) if text else (0, None, 0)
             if not n:
                 flat = re.sub(r"[^a-z0-9]", "", fold(text))
-                near = [(edits(flat, f), m) for f, m in self.flat.items() if abs(len(f) - len(flat)) <= 2] if len(flat) >= 8 else []
+                near = [(edits(flat, f), m) for f, m in self.flat.items() if within(flat, f, 2)] if len(flat) >= 8 else []
                 d, n = min(near, default=(9, 0))
                 n = n if d <= 2 else 0
             if len(self.cache) > 200_000:
@@ -267,12 +267,14 @@ def link_entries(entries: DataFrame, files: DataFrame, acts: DataFrame) -> DataF
     """
     spark = entries.sparkSession
     listed = [(int(r.canon_id), r.canonical) for r in acts.select("canon_id", "canonical").dropna().orderBy("canon_id").collect()]
+    # a set number of partitions: reading a name costs far more than the few bytes by which they would be merged
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = lambda *cs: [F.col(c).cast("string").alias(c) for c in cs]
-    e = entries.select(F.col("entry_id").cast("long").alias("entry_id"), *text("casefile_id", "index_path", "label", "referenced_path", "document_date")).where("entry_id is not null and casefile_id is not null").dropDuplicates(["entry_id"])
+    e = entries.select(F.col("entry_id").cast("long").alias("entry_id"), *text("casefile_id", "index_path", "label", "referenced_path", "document_date")).where("entry_id is not null and casefile_id is not null").repartition(wide, "entry_id").dropDuplicates(["entry_id"])
     e = e.mapInPandas(_read_entries(listed), "entry_id long, casefile_id string, unit string, titles array<int>, days array<long>, numbers array<long>, persons array<string>, ref_path string, ref_name string, main_of string")
     e = materialize(e, "link-entries")
     d = files.select(F.col("case_doc_id").cast("long").alias("case_doc_id"), *text("casefile_id", "relative_path")).where("case_doc_id is not null and casefile_id is not null and relative_path is not null")
-    d = d.where(~F.col("relative_path").rlike(r"(?i)(^|/)(complete|listaallegati\.html?)$")).dropDuplicates(["case_doc_id"])
+    d = d.where(~F.col("relative_path").rlike(r"(?i)(^|/)(complete|listaallegati\.html?)$")).repartition(wide, "case_doc_id").dropDuplicates(["case_doc_id"])
     d = d.mapInPandas(_read_files(listed), "case_doc_id long, casefile_id string, file_unit string, title int, day long, number long, person string, path string, inner string, name string, is_main boolean, is_copy boolean")
     d = materialize(d, "link-files")
 
