@@ -3,9 +3,10 @@
 Every text becomes a bag of word shingles. Exact copies (equal bags of words in order) are first folded into classes, of
 which one representative goes on. A shingle's weight in the signature is 1, or 1/256 if it
 occurs in more than one of `common_share` texts: phrases that everybody uses carry next to nothing, so that texts
-which share only those seldom meet in a band. A text of which six shingles in ten are common gets a second signature
-without these weights, in bands one row longer, so that variants of a text that itself fills much of the
-collection meet as well. The BagMinHash signature of a weighted bag holds, for each
+which share only those seldom meet in a band there. Every text with a common shingle gets a second signature
+without these weights, in as many bands one row longer, so that variants of a text that itself fills much of the
+collection meet as well. A text without any needs none: it shares no common shingle with others, and the weights
+can only raise its similarity. The BagMinHash signature of a weighted bag holds, for each
 component, the least arrival time of the Poisson processes of its shingles, each over the interval from 0 to the
 shingle's weight; the processes are made by splitting the process of the whole weight range in half
 again and again, so that equal shingles of different weight share the points below the lesser weight (a range
@@ -111,10 +112,10 @@ def bag_min_hash(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: i
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    """(n, m // rows) keys of the bands."""
+    """(n, m // rows) keys of the bands, each of its band and row count alone."""
     bits = sig.view(np.uint64)
     n, m = bits.shape
-    key = np.zeros((n, m // rows), dtype=np.uint64)
+    key = np.tile(mix(np.arange(m // rows, dtype=np.uint64) ^ np.uint64(rows << 32)), (n, 1))
     for i in range(rows):
         key = mix(key ^ bits[:, i : (m // rows) * rows : rows])
     return key
@@ -152,9 +153,8 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     common = reps.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > max(n / common_share, 8)).select("g")
     common = np.sort(np.array([r.g for r in common.toLocalIterator()], dtype=np.int64))
 
-    def keyed(ids: np.ndarray, keys: np.ndarray, first: int) -> pd.DataFrame:
-        n = keys.shape[1]
-        return pd.DataFrame({"id": np.repeat(ids, n), "band": np.tile(np.arange(first, first + n, dtype=np.int32), len(ids)), "key": keys.ravel()})
+    def keyed(ids: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"id": np.repeat(ids, keys.shape[1]), "key": keys.ravel()})
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,21 +167,21 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
                     where = np.minimum(np.searchsorted(common, flat), len(common) - 1)
                     weight[common[where] == flat] = LEVELS[1]
                 sig = bag_min_hash(flat.view(np.uint64), weight, owner, len(part), bands * rows)
-                yield keyed(part["id"].to_numpy(), band_keys(sig, rows).view(np.int64), 0)
-                # a text of which most is common may share just that with its like, as in a large group of variants
-                plain = np.flatnonzero(np.bincount(owner, weights=weight < 1, minlength=len(part)) >= 0.6 * sizes)
+                yield keyed(part["id"].to_numpy(), band_keys(sig, rows).view(np.int64))
+                # what a text shares with its like may be just what is common, as in a large group of variants
+                plain = np.flatnonzero(np.bincount(owner, weights=weight < 1, minlength=len(part)))
                 if len(plain):
                     own = np.isin(owner, plain)
-                    sig = bag_min_hash(flat[own].view(np.uint64), np.ones(own.sum()), np.searchsorted(plain, owner[own]), len(plain), bands * rows)
-                    yield keyed(part["id"].to_numpy()[plain], band_keys(sig, rows + 1).view(np.int64), bands)
+                    sig = bag_min_hash(flat[own].view(np.uint64), np.ones(own.sum()), np.searchsorted(plain, owner[own]), len(plain), bands * (rows + 1))
+                    yield keyed(part["id"].to_numpy()[plain], band_keys(sig, rows + 1).view(np.int64))
 
-    buckets = materialize(reps.mapInPandas(sign, "id long, band int, key long"), "near-bands")
-    crowd = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = materialize(reps.mapInPandas(sign, "id long, key long"), "near-bands")
+    crowd = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     crowd = crowd.withColumn("blocks", F.ceil(F.col("size") / bucket_block).cast("int"))
-    met = buckets.join(crowd, ["band", "key"])
-    left = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("band", "key", "block", F.col("id").alias("id_a"))
-    right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", "block", F.col("id").alias("id_b"))
-    pairs = left.join(right, ["band", "key", "block"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)
+    met = buckets.join(crowd, "key")
+    left = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("key", "block", F.col("id").alias("id_a"))
+    right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", F.col("id").alias("id_b"))
+    pairs = left.join(right, ["key", "block"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)
 
     a = reps.select(F.col("id").alias("id_a"), F.col("grams").alias("ga"))
     b = reps.select(F.col("id").alias("id_b"), F.col("grams").alias("gb"))

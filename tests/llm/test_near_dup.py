@@ -67,3 +67,14 @@ def test_copies_nulls_and_blocks(spark):
     assert {r.group_id for r in groups} == {1} and {r.n_links for r in groups if r.id == 1} == {30}
     links, members = N.near_duplicates(df.limit(0), "id", "t")
     assert links.count() == 0 and members.count() == 0 and N.components(links, members).count() == 0
+
+
+def test_hot_group_with_long_insertions(spark):
+    hot = [f"h{i}" for i in range(62)]
+    texts = {i: " ".join(hot + [f"r{i}x{j}" for j in range(3)]) for i in range(1, 41)}  # fills more than one text of twenty
+    texts |= {100 + i: " ".join(hot + [f"long{i}x{j}" for j in range(44 + i)]) for i in range(10)}  # most of each is rare
+    texts |= {500 + i: " ".join(f"o{i}x{j}" for j in range(60)) for i in range(60)}
+    links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2)
+    got, want = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}, brute(texts, 3, 0.5)
+    assert sum(a < 100 <= b for a, b in want) > 300
+    assert got <= want and len(got) >= 0.99 * len(want)
