@@ -1,7 +1,8 @@
 """Repairing text from scanned pages: words cut at line ends, misread words, page furniture.
 
-Two passes over the texts. The first counts in how many texts each word and each pair of neighbouring words occurs;
-words in at least `known_share` of the texts are the vocabulary, whose size the mean number of words of a text bounds.
+Two passes over the texts. The first counts in how many texts each word and each pair of neighbouring words occurs, and
+once more with every different line in one text only, so that copies and variants of a scan don't vouch for their own
+errors; a word is wrong if either count says so. Words in at least `known_share` of the texts are the vocabulary, whose size the mean number of words of a text bounds.
 From it the models are trained, without any labels: known words are cut and misread at random, and lines whose form
 leaves no doubt teach what furniture looks like. The second pass classifies pairs of lines (furniture, joins)
 and lists the suspects, words much rarer than the vocabulary. The suspects' correction candidates come from an
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def distance(a: str, b: str) -> tuple[float, int]:
 
 
 class Language:
-    """Vocabulary and neighbouring pairs with their shares of all texts."""
+    """Vocabulary and neighbouring pairs with their shares of all texts, or of those that have lines of their own."""
 
     def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float]) -> None:
         self.words, self.pairs = words, pairs
@@ -275,14 +277,23 @@ def furniture_lines(texts: list[list[str]], model: Boosted) -> list[set[int]]:
     return out
 
 
+def line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.strip().lower()) - (1 << 63)
+
+
+BLANK = line_hash("")
+
+
 def core(word: str) -> str:
     """A word without an elided article: what follows the last apostrophe."""
     return re.split(r"['’]", word)[-1]
 
 
-def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphen, suspect_share: float) -> list[tuple[int, str, str, str, str, str, int, int]]:
+def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphen, suspect_share: float, single: Language | None = None) -> list[tuple[int, str, str, str, str, str, int, int]]:
     """(line from 1, kind, word as right as it is known here, word as read, word before, word after, start in line, end) of
-    furniture, splits and suspects."""
+    furniture, splits and suspects. A word is suspect, or a gap one, by `lang` or by `single`, the counts of every line once."""
+    langs = [lang, single] if single else [lang]
+    frequent = frozenset.intersection(*(l.frequent for l in langs))
     out = [(i + 1, "furniture", "", lines[i].strip(), "", "", 0, len(lines[i])) for i in sorted(furniture)]
     prose = [i for i in range(len(lines)) if i not in furniture and lines[i].strip()]
     skip_head: dict[int, int] = {}
@@ -309,7 +320,7 @@ def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphe
         own.append(ws)
     for k, i in enumerate(prose):
         ws, cut = own[k], by_line.get(i)
-        if not cut and all(w in lang.frequent or w.isdigit() for w in ws):
+        if not cut and all(w in frequent or w.isdigit() for w in ws):
             continue
         last = next((o[-1] for o in reversed(own[max(0, k - 3) : k]) if o), "")
         following = next((o[0] for o in own[k + 1 : k + 4] if o), "")
@@ -322,13 +333,12 @@ def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphe
             plain, (a, z) = word.isalpha(), at[n]
             if not plain and not any(c.isalpha() for c in word):
                 continue
-            share = lang.words.get(word, 0.0)
-            if share < suspect_share or not plain and any(c.isdigit() for c in word):
+            if any(l.words.get(word, 0.0) < suspect_share for l in langs) or not plain and any(c.isdigit() for c in word):
                 out.append((i + 1, "suspect", word, word, before, after, a, z))
-            if plain and n + 1 < len(at) and at[n + 1][0] == z + 1 and lines[i][z] == " " and not (word in lang.frequent and after in lang.frequent):
+            if plain and n + 1 < len(at) and at[n + 1][0] == z + 1 and lines[i][z] == " " and not (word in frequent and after in frequent):
                 whole = word + after
-                joined = lang.words.get(whole, 0.0)
-                if joined > suspect_share and joined > 20 * min(share, lang.words.get(after, 0.0)) and after.isalpha() and len(whole) > 4 and lines[i][z + 1].islower() == lines[i][z - 1].islower():
+                gap = any(l.words.get(whole, 0.0) > max(suspect_share, 20 * min(l.words.get(word, 0.0), l.words.get(after, 0.0))) for l in langs)
+                if gap and after.isalpha() and len(whole) > 4 and lines[i][z + 1].islower() == lines[i][z - 1].islower():
                     out.append((i + 1, "gap", whole, f"{word} {after}", before, ws[n + 2] if n + 2 < len(ws) else following, a, at[n + 1][1]))
     return out
 
@@ -341,7 +351,8 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
     word in lower case, empty for furniture), seen (as it stands there), a, z (where in its line).
 
     Null and empty texts give no row; repeated rows count once. The models are fitted on the vocabulary and on at most
-    about `fit_texts` texts chosen by a hash of the id; counts are over all texts.
+    about `fit_texts` texts chosen by a hash of the id; counts are over all texts, each different line in the text of
+    least hash that has it.
     """
     spark = texts.sparkSession
     texts = texts.select(F.col("table_name").cast("string").alias("table_name"), F.col("job_id").cast("long").alias("job_id"), F.col("markdown").cast("string").alias("markdown"))
@@ -349,34 +360,50 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
     texts = materialize(texts, "noise-texts")
     n = texts.count()
 
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = [list({line_hash(l) for l in t.split("\n")} - {BLANK}) for t in batch["markdown"]]
+            yield pd.DataFrame({"line": np.array([h for hs in lines for h in hs], dtype=np.int64), "text": np.repeat(batch["text"].to_numpy(), [len(hs) for hs in lines])})
+
+    text_hash = F.xxhash64("table_name", "job_id").alias("text")
+    owners = texts.select(text_hash, "markdown").mapInPandas(hashed, "line long, text long").groupBy("line").agg(F.min("text").alias("text"))
+    owners = materialize(owners.groupBy("text").agg(F.collect_list("line").alias("own_lines")), "noise-lines")
+    n_own = owners.count()
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Counter()
+        words, single = Counter(), Counter()
         for batch in batches:
-            for t in batch["markdown"]:
-                own = set()
+            for t, own_lines in zip(batch["markdown"], batch["own_lines"]):
+                own, once, first = set(), set(), set(own_lines if own_lines is not None else ())
                 for line in t.split("\n"):
                     got = _WORD.findall(line.lower())
                     if got and line.rstrip()[-1:] in "-¬­‐":
                         got.pop()
-                    own.update(w for w in got if not w.isdigit())
-                    own.update(map(" ".join, zip(got, got[1:])))
+                    got = [*(w for w in got if not w.isdigit()), *map(" ".join, zip(got, got[1:]))]
+                    own.update(got)
+                    if line_hash(line) in first:
+                        once.update(got)
                 words.update(own)
-        yield pd.DataFrame(list(words.items()), columns=["word", "n"])
+                single.update(once)
+        yield pd.DataFrame([(w, k, single[w]) for w, k in words.items()], columns=["word", "n", "own"])
 
-    counted = texts.select("markdown").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select(text_hash, "markdown").join(owners, "text", "left").select("markdown", "own_lines").mapInPandas(count, "word string, n long, own long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
     counted = materialize(counted, "noise-counts")
     # at most the mean number of different words and pairs of a text / known_share
-    often = counted.where(F.col("n") >= max(3, known_share * n)).toPandas()
-    lang = Language(
-        {r.word: r.n / n for r in often.itertuples() if " " not in r.word},
-        {tuple(r.word.split(" ")): r.n / n for r in often.itertuples() if " " in r.word},
-    )
+    def language(count: str, of: int) -> Language:
+        often = counted.where(F.col(count) >= max(3, known_share * of)).select("word", F.col(count).alias("n")).toPandas()
+        return Language(
+            {r.word: r.n / of for r in often.itertuples() if " " not in r.word},
+            {tuple(r.word.split(" ")): r.n / of for r in often.itertuples() if " " in r.word},
+        )
+
+    lang, single = language("n", n), language("own", n_own)
     fit_rows = texts.where(F.pmod(F.xxhash64("table_name", "job_id"), F.lit(max(n, 1))) < fit_texts).limit(2 * fit_texts).select("markdown").toPandas()
-    lines_model, joins, ranker = train_lines(list(fit_rows["markdown"])), train_joins(lang), train_ranker(lang)
-    shared = spark.sparkContext.broadcast((lang, lines_model, joins, ranker))
+    lines_model, joins, rankers = train_lines(list(fit_rows["markdown"])), train_joins(lang), (train_ranker(lang), train_ranker(single))
+    shared = spark.sparkContext.broadcast((lang, single, lines_model, joins, rankers))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lang, lines_model, joins, _ = shared.value
+        lang, single, lines_model, joins, _ = shared.value
         known: dict[tuple[str, str], bool] = {}
 
         def keeps_hyphen(left: str, right: str) -> bool:
@@ -387,12 +414,12 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
         for batch in batches:
             texts = [t.split("\n") for t in batch["markdown"]]
             gone = [g for i in range(0, len(texts), 200) for g in furniture_lines(texts[i : i + 200], lines_model)]
-            rows = [(name, job, *r) for name, job, lines, g in zip(batch["table_name"], batch["job_id"], texts, gone) for r in scan_text(lines, g, lang, keeps_hyphen, suspect_share)]
+            rows = [(name, job, *r) for name, job, lines, g in zip(batch["table_name"], batch["job_id"], texts, gone) for r in scan_text(lines, g, lang, keeps_hyphen, suspect_share, single)]
             yield pd.DataFrame(rows, columns=["table_name", "job_id", "line_no", "kind", "word", "seen", "before", "after", "a", "z"])
 
     found = materialize(texts.mapInPandas(look, FOUND), "noise-found")
     # words that may be wrong: suspects, and split words that are not known as they are joined
-    vocabulary = spark.createDataFrame(pd.DataFrame([(w, s) for w, s in lang.words.items() if len(w) > 1 and not any(c.isdigit() for c in w)], columns=["candidate", "share"]), "candidate string, share double")
+    vocabulary = spark.createDataFrame(pd.DataFrame([(w,) for w in sorted({*lang.words, *single.words}) if len(w) > 1 and not any(c.isdigit() for c in w)], columns=["candidate"]), "candidate string")
     doubtful = found.where("kind in ('suspect', 'split')").select("word").distinct()
     q = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, 2)))
     left = doubtful.where("length(word) between 2 and 40").select("word", F.explode(q(F.col("word"))).alias("gram"), F.length("word").alias("long")).withColumn("size", F.explode(F.sequence(F.col("long") - 2, F.col("long") + 2)))
@@ -401,23 +428,23 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
     near = left.join(right, ["gram", "size"]).groupBy("word", "candidate").agg(F.count("*").alias("common"))
     near = near.where((F.col("common") >= longest + 1 - F.when(longest > 5, 4).otherwise(3)) & (F.col("word") != F.col("candidate")))
     near = near.groupBy("word").agg(F.collect_list("candidate").alias("candidates"))  # words within two confusions of one word
-    shares = counted.where("not contains(word, ' ')").select("word", (F.col("n") / n).alias("share"))
+    shares = counted.where("not contains(word, ' ')").select("word", (F.col("n") / n).alias("share"), (F.col("own") / max(n_own, 1)).alias("single_share"))
     open_ = found.where("kind in ('suspect', 'split')").join(near, "word", "left").join(shares, "word", "left")
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lang, _, _, ranker = shared.value
+        lang, single, _, _, rankers = shared.value
         for batch in batches:
-            x, at = [], []
-            for k, r in enumerate(batch.itertuples()):
-                own = 0.0 if r.share is None or r.share != r.share else r.share
-                for c in r.candidates if r.candidates is not None else ():
-                    if lang.words.get(c, 0.0) >= 20 * (own if not any(ch.isdigit() for ch in r.word) else 0.0) and (r.kind != "split" or r.word not in lang.words):
-                        x.append(lang.features(r.word, max(own, 1e-5), c, r.before, r.after))
-                        at.append((k, c))
-            p = ranker.predict(np.array(x)) if x else []
             best: dict[int, tuple[float, str]] = {}
-            for (k, c), v in zip(at, p):
-                best[k] = max(best.get(k, (0.0, "")), (float(v), c))
+            for words, ranker, shares in ((lang, rankers[0], batch["share"]), (single, rankers[1], batch["single_share"])):
+                x, at = [], []
+                for k, (r, own) in enumerate(zip(batch.itertuples(), shares)):
+                    own = 0.0 if own is None or own != own else own
+                    for c in r.candidates if r.candidates is not None else ():
+                        if words.words.get(c, 0.0) >= max(20 * (own if not any(ch.isdigit() for ch in r.word) else 0.0), 1e-12) and (r.kind != "split" or r.word not in words.words):
+                            x.append(words.features(r.word, max(own, 1e-5), c, r.before, r.after))
+                            at.append((k, c))
+                for (k, c), v in zip(at, ranker.predict(np.array(x)) if x else []):
+                    best[k] = max(best.get(k, (0.0, "")), (float(v), c))
             rows = []
             for k, r in enumerate(batch.itertuples()):
                 v, c = best.get(k, (0.0, ""))

@@ -88,3 +88,12 @@ def test_empty(spark):
     assert O.find_noise(empty).count() == 0
     one = spark.createDataFrame([("t", 1, "solo"), ("t", 2, None)], "table_name string, job_id long, markdown string")
     assert [r.markdown for r in O.repair(one, O.find_noise(one)).collect()] == ["solo"]
+
+
+def test_copies_dont_vouch_for_their_errors(spark):
+    rows, _ = corpus(160)
+    scan = "Tribunale di Borgo\n\nVerbale\n\nLa perizia descrive il magazz1no ed il reglstro del tribuna1e; il\ncustode ha conseqnato il magazzlno alla canceileria in data odierna."
+    rows += [("t", 1000 + i, scan + f"\n\nAltro foglio numero {i} del fascicolo, senza allegati.") for i in range(60)]  # a quarter of all texts
+    found = O.find_noise(spark.createDataFrame(rows, "table_name string, job_id long, markdown string")).where("job_id >= 1000 and kind = 'misread'").collect()
+    for seen in ("reglstro", "conseqnato", "magazzlno"):
+        assert sum(r.seen == seen for r in found) == 60, seen
