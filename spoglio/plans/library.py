@@ -49,7 +49,7 @@ def fold_text(spark, d):
 
 @query("sanitized", f"SELECT job_id, md5(markdown) AS digest, CAST(len(regexp_extract_all(markdown, '(?i)data:image/[a-z0-9.+-]+;base64,[a-z0-9+/_=-]+')) AS INTEGER) AS embedded_images_removed, CAST(0 AS INTEGER) AS long_base64_lines_removed FROM {TEXTS} WHERE markdown IS NOT NULL AND NOT contains(markdown, 'data:image')")
 def sanitized(spark, d):
-    return M.sanitize(read(spark, d, "sanitize_results").where("markdown is not null and not contains(markdown, 'data:image')")).select("job_id", F.md5("markdown").alias("digest"), "embedded_images_removed", "long_base64_lines_removed")
+    return M.sanitize(read(spark, d, "sanitize_results").where("markdown is not null")).select("job_id", F.md5("markdown").alias("digest"), "embedded_images_removed", "long_base64_lines_removed")
 
 
 @query("promoted_headings")
