@@ -4,8 +4,8 @@ One pass over the texts gives each document its size in tokens and its term freq
 frequencies are summed over all documents (a vector of fixed width). Documents are spread by a hash of their
 id over shards of about `shard_docs`, and every shard holds a BM25 inverted index of its own documents with the
 global statistics. From the longest unused document on, each becomes the seed of a container: the index returns
-its unused neighbours by BM25 score, which are added greedily while they fit; what space is left takes the
-largest unused documents that fit. A document longer than the capacity fills whole containers with its first
+its unused neighbours by BM25 score for its 16 terms of most weight, which are added greedily while they fit; what
+space is left takes the largest unused documents that fit. A document longer than the capacity fills whole containers with its first
 tokens and only the rest is packed with others.
 """
 
@@ -97,8 +97,8 @@ class Bm25Shard:
 
 def pack_shard(sizes: np.ndarray, index: Bm25Shard, capacity: int) -> tuple[np.ndarray, int]:
     """(container number of each document's last part, number of containers). sizes: what is left to pack of each
-    document, 1..capacity, or 0 for nothing. The neighbour of best score that closes
-    nine tenths of the gap is taken first; otherwise the gap takes the largest unused documents that fit."""
+    document, 1..capacity, or 0 for nothing. The seed's unused neighbours are taken in the order of score while
+    they fit; a gap that none of them fits takes the largest unused documents that do."""
     bins = np.full(len(sizes), -1, dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     by_size = sizes[order]
@@ -127,17 +127,22 @@ def pack_shard(sizes: np.ndarray, index: Bm25Shard, capacity: int) -> tuple[np.n
             continue
         use(seed, n)
         gap = capacity - int(sizes[seed])
-        scores = index.scores(seed) if gap >= smallest else None
+        if gap >= smallest:
+            scores = index.scores(seed)
+            near = np.flatnonzero((scores > 0) & (bins < 0) & (sizes > 0) & (sizes <= gap))
+            near = near[np.argsort(-scores[near], kind="stable")]
+            # what doesn't fit now won't fit later: the next that does comes after it
+            while len(near):
+                d = int(near[0])
+                use(d, n)
+                gap -= int(sizes[d])
+                near = near[1:][sizes[near[1:]] <= gap]
         while gap >= smallest:
             top = int(np.searchsorted(by_size, gap, "right"))
-            near = order[int(np.searchsorted(by_size, gap * 9 // 10)) : top]
-            near = near[bins[near] < 0]
-            d = int(near[scores[near].argmax()]) if len(near) else -1
-            if d < 0 or scores[d] == 0 or sizes[d] == 0:
-                q = unused_at_most(top)
-                if q <= empty:
-                    break
-                d = int(order[q - 1])
+            q = unused_at_most(top)
+            if q <= empty:
+                break
+            d = int(order[q - 1])
             use(d, n)
             gap -= int(sizes[d])
         n += 1

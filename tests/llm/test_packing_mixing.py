@@ -92,3 +92,12 @@ def test_mixing_nothing(spark):
     assert drawn.count() == 0 and report.first().actual_share == 0.0
     drawn, report = mixing.mix_sources(df.limit(0), targets.limit(0))
     assert drawn.count() == 0 and report.count() == 0
+
+
+def test_neighbours_fill_before_size():
+    # a seed, four small neighbours of falling score, and strangers of which one alone would close the gap
+    terms = [np.array([1, 2, 3, 4]), np.array([1, 2, 3, 4]), np.array([1, 2, 3]), np.array([1, 2]), np.array([1]), np.array([9]), np.array([9])]
+    sizes = np.array([60, 10, 10, 10, 9, 40, 1])
+    index = packing.Bm25Shard(terms, [np.ones(len(t)) for t in terms], np.ones(packing.TERMS, dtype=np.float32), 3.0)
+    bins, n = packing.pack_shard(sizes, index, 100)
+    assert n == 2 and list(bins) == [0, 0, 0, 0, 0, 1, 0]
