@@ -191,19 +191,26 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     return links.select("id_a", "id_b", "similarity"), members
 
 
-def record_pairs(links: DataFrame, members: DataFrame, copies: int = 64) -> DataFrame:
+def record_pairs(links: DataFrame, members: DataFrame, copies: int | None = None, block: int = 256) -> DataFrame:
     """Pairs of records id_a < id_b: every record of one class with every record of a linked class, and the copies
-    within a class among each other. A class of more than `copies` exact copies is not multiplied out: its records are paired
-    with its first one, and only that one with the linked classes."""
-    use = members.where((F.col("n_copies") <= copies) | (F.col("id") == F.col("class_id")))
-    a = use.select(F.col("class_id").alias("id_a"), F.col("id").alias("a"))
-    b = use.select(F.col("class_id").alias("id_b"), F.col("id").alias("b"))
-    across = links.join(a, "id_a").join(b, "id_b").select("a", "b")
-    many = members.where("n_copies > 1")
-    small = many.where(F.col("n_copies") <= copies)
-    within = small.select("class_id", F.col("id").alias("a")).join(small.select("class_id", F.col("id").alias("b")), "class_id").where("a < b").select("a", "b")
-    large = many.where((F.col("n_copies") > copies) & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias("a"), F.col("id").alias("b"))
-    every = across.unionByName(within).unionByName(large)
+    within a class among each other. With `copies`, the records of a class of more copies are not paired among each other but
+    with its first one only. A class is cut into blocks of about `block` records that meet block by block in different tasks."""
+    cut = members.withColumn("blocks", F.ceil(F.col("n_copies") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    size = cut.where("id = class_id").select("class_id", "blocks")
+    every_block = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    meet = links.select("id_a", "id_b").join(size.select(F.col("class_id").alias("id_a"), F.col("blocks").alias("na")), "id_a").join(size.select(F.col("class_id").alias("id_b"), F.col("blocks").alias("nb")), "id_b")
+    meet = meet.withColumn("block_a", every_block("na")).withColumn("block_b", every_block("nb"))
+    a = cut.select(F.col("class_id").alias("id_a"), F.col("block").alias("block_a"), F.col("id").alias("a"))
+    b = cut.select(F.col("class_id").alias("id_b"), F.col("block").alias("block_b"), F.col("id").alias("b"))
+    across = meet.join(a, ["id_a", "block_a"]).join(b, ["id_b", "block_b"]).select("a", "b")
+    many = cut.where("n_copies > 1")
+    small = many if copies is None else many.where(F.col("n_copies") <= copies)
+    left = small.select("class_id", "block", F.col("id").alias("a"))
+    right = small.withColumn("block", every_block("blocks")).select("class_id", "block", F.col("id").alias("b"))
+    within = left.join(right, ["class_id", "block"]).where("a < b").select("a", "b")
+    every = across.unionByName(within)
+    if copies is not None:
+        every = every.unionByName(many.where((F.col("n_copies") > copies) & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias("a"), F.col("id").alias("b")))
     return every.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 

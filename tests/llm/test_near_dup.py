@@ -78,3 +78,14 @@ def test_hot_group_with_long_insertions(spark):
     got, want = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}, brute(texts, 3, 0.5)
     assert sum(a < 100 <= b for a, b in want) > 300
     assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_every_copy_of_a_large_class_has_its_pairs(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = {i: base for i in range(1, 71)} | {100 + i: base + f" z{i}" for i in range(3)}
+    links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t")
+    want = brute(texts, 5, 0.8)
+    assert len(want) == 73 * 72 // 2
+    for how in ({}, {"block": 8}):
+        got = [(r.id_a, r.id_b) for r in N.record_pairs(links, members, **how).collect()]
+        assert len(got) == len(want) and set(got) == want
