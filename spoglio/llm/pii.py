@@ -1,8 +1,9 @@
 """Personal information in free text: anchor expansion.
 
 An Aho-Corasick automaton finds the anchors in one pass over the lower-cased text: at-signs and their spellings,
-street words, beginnings of telephone numbers, identity cues, and words that stand before or after a person's
-name. From each anchor a deterministic parser expands to the left or right, within the line, to the
+street words, beginnings of telephone numbers, and words that stand before or after a person's
+name. Identity numbers have no anchors: a regular expression over the whole text finds them, as one over every
+capitalised run finds the names in judge fields. From each anchor a deterministic parser expands to the left or right, within the line, to the
 boundaries of an address, number or name, and validates it. A name may stand on the line after its cue, also
 with a page number or running header between.
 """
