@@ -4,7 +4,7 @@ One pass over the texts gives each document its size in tokens and its term freq
 frequencies are summed over all documents (a vector of fixed width). Documents are spread by a hash of their
 id over shards of about `shard_docs`, and every shard holds a BM25 inverted index of its own documents with the
 global statistics. From the longest unused document on, each becomes the seed of a container: the index returns
-its unused neighbours by BM25 score for its 16 terms of most weight, which are added greedily while they fit; what
+its unused neighbours by BM25 score for all its terms, which are added greedily while they fit; what
 space is left takes the largest unused documents that fit. A document longer than the capacity fills whole containers with its first
 tokens and only the rest is packed with others.
 """
@@ -67,31 +67,35 @@ def measure(text: str | None, vocabulary: str = VOCABULARY) -> tuple[int, list[i
 
 
 class Bm25Shard:
-    """Inverted index of one shard with global statistics. Queries are a document's `query_terms` terms of most weight."""
+    """Inverted index of one shard with global statistics. A document's query is all its terms. Terms in more than one of `dense`
+    documents are kept as whole rows, whose sum costs less than walking their postings."""
 
-    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], idf: np.ndarray, avg_len: float, query_terms: int = 16, k1: float = 1.2, b: float = 0.75) -> None:
-        sizes = np.array([len(t) for t in terms])
+    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], idf: np.ndarray, avg_len: float, k1: float = 1.2, b: float = 0.75, dense: int = 8) -> None:
+        sizes = np.array([len(t) for t in terms], dtype=np.int64)
         term = np.concatenate(terms) if len(terms) else np.zeros(0, int)
         f = (np.concatenate(tf) if len(tf) else np.zeros(0)).astype(np.float64)
         doc = np.repeat(np.arange(len(terms)), sizes)
         length = np.array([t.sum() for t in tf], dtype=np.float64)
         weight = idf[term] * f * (k1 + 1) / (f + k1 * (1 - b + b * length[doc] / max(avg_len, 1e-9)))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
+        self.n, self.doc, self.weight = len(terms), doc[order].astype(np.int32), weight[order].astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange(TERMS + 1))
-        self.n, self.query = len(terms), []
-        at = 0
-        for t, n in zip(terms, sizes):
-            w = weight[at : at + n]
-            self.query.append(t[np.argsort(-w, kind="stable")[:query_terms]] if n else t)
-            at += n
+        often = np.flatnonzero(np.diff(self.start) * dense > max(self.n, 1))
+        row = np.full(TERMS, -1, dtype=np.int64)
+        row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n), dtype=np.float32)
+        for i, t in enumerate(often):
+            self.rows[i, self.doc[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
+        self.common = [row[t][row[t] >= 0] for t in terms]
+        self.rare = [t[row[t] < 0] for t in terms]
 
     def scores(self, seed: int) -> np.ndarray:
-        """The BM25 score of every document of the shard for the seed's query terms; 0 without a common one."""
-        out = np.zeros(self.n, dtype=np.float32)
-        for t in self.query[seed]:
-            a, z = self.start[t], self.start[t + 1]
-            out[self.doc[a:z]] += self.weight[a:z]
+        """The BM25 score of every document of the shard for the seed's terms; 0 without a common one."""
+        out = self.rows[self.common[seed]].sum(0) if len(self.common[seed]) else np.zeros(self.n, dtype=np.float32)
+        start, size = self.start[self.rare[seed]], self.start[self.rare[seed] + 1] - self.start[self.rare[seed]]
+        if size.sum():
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out += np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
         return out
 
 
@@ -167,7 +171,7 @@ def pack_documents(docs: DataFrame, containers: DataFrame, shard_docs: int = 409
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [measure(t, vocabulary) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [g[0] for g in got], "terms": [np.array(g[1], dtype="<u2").tobytes() for g in got], "tf": [np.minimum(g[2], 65_535).astype("<u2").tobytes() for g in got]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [g[0] for g in got], "terms": [np.array(g[1], dtype="<u2").tobytes() for g in got], "tf": [np.array(g[2], dtype="<u4").tobytes() for g in got]})
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     feats = materialize(source.mapInPandas(features, "doc_id long, n long, terms binary, tf binary").where("n > 0"), "pack-features")
@@ -177,7 +181,7 @@ def pack_documents(docs: DataFrame, containers: DataFrame, shard_docs: int = 409
         for batch in batches:
             for terms, tf in zip(batch["terms"], batch["tf"]):
                 df[np.frombuffer(terms, dtype="<u2")] += 1
-                length += int(np.frombuffer(tf, dtype="<u2").sum())
+                length += int(np.frombuffer(tf, dtype="<u4").sum())
                 n += 1
         yield pd.DataFrame({"df": [df.tobytes()], "n": [n], "length": [length]})
 
@@ -202,7 +206,7 @@ def pack_documents(docs: DataFrame, containers: DataFrame, shard_docs: int = 409
         batch = batch.sort_values(["doc_id", "n"]).drop_duplicates("doc_id", keep="last")
         n = batch["n"].to_numpy()
         ids, shard = batch["doc_id"].to_numpy(), int(batch["shard"].iloc[0])
-        index = Bm25Shard([np.frombuffer(t, dtype="<u2").astype(np.int64) for t in batch["terms"]], [np.frombuffer(t, dtype="<u2") for t in batch["tf"]], idf, avg_len)
+        index = Bm25Shard([np.frombuffer(t, dtype="<u2").astype(np.int64) for t in batch["terms"]], [np.frombuffer(t, dtype="<u4") for t in batch["tf"]], idf, avg_len)
         out = []
         for name, capacity in kinds:
             full, rest = n // capacity, n % capacity
