@@ -64,12 +64,12 @@ def test_tree_is_exact():
     assert (mixing.split_tree(quotas, 7, 5) == mixing.split_tree(quotas, 7, 5)).all()
 
 
-@pytest.mark.parametrize("blocks", [1, 16])
+@pytest.mark.parametrize("blocks", [1, 8])
 def test_shares_and_repeats(spark, blocks):
     rows, df = docs(spark)
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 5), ("absent", 0.1, 3), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
     df = df.where("length(text) < 5000 or text is null")
-    drawn, report = mixing.mix_sources(df, targets, shard_tokens=3000, blocks=blocks)
+    drawn, report = mixing.mix_sources(df, targets, shard_tokens=3000, shard_blocks=blocks)
     drawn, report = drawn.collect(), {r.source: r for r in report.collect()}
     assert report["absent"].drawn_tokens == 0 and set(report) == {"a", "b", "c", "absent"}
     for s, share in (("a", 5 / 9), ("b", 3 / 9), ("c", 1 / 9)):
@@ -81,10 +81,42 @@ def test_shares_and_repeats(spark, blocks):
         times.setdefault((r.source, r.doc_id), []).append(r.repeat_no)
         places.add((r.shard, r.position))
     assert all(len(v) == len(set(v)) and max(v) <= most[s] for (s, _), v in times.items()) and len(places) == len(drawn)
-    again = mixing.mix_sources(df, targets, shard_tokens=3000, blocks=blocks)[0].collect()
+    again = mixing.mix_sources(df, targets, shard_tokens=3000, shard_blocks=blocks)[0].collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
 
 
+def test_ranges_of_the_tree_agree_with_the_whole():
+    quotas = np.array([5000, 1, 77, 0])
+    whole = mixing.split_tree(quotas, 1000, 3)
+    assert (whole.sum(0) == quotas).all()
+    for first, last in ((0, 1), (37, 401), (999, 1000)):
+        for shard, before, have in mixing.split_range(quotas, 1000, 3, first, last):
+            assert (have == whole[shard]).all() and (before == whole[:shard].sum(0)).all() and first <= shard < last
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 997, 4096])
+def test_stride_permutes(n):
+    a, c = mixing.stride(n, 5)
+    assert {(a * i + c) % n for i in range(n)} == set(range(n))
+
+
+def test_a_thousand_shards(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 9))), "big" if i % 3 else "small") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 2)], "source string, target_share double, max_repeats int")
+    sizes = {r.doc_id: r.n_tokens for r in count_tokens(df, ["doc_id"]).collect()}
+    n = sum(sizes.values())
+    drawn, report = mixing.mix_sources(df, targets, shard_tokens=n // 900, shard_blocks=4)
+    rows, report = drawn.collect(), {r.source: r for r in report.collect()}
+    per_shard = {}
+    for r in rows:
+        per_shard[r.shard] = per_shard.get(r.shard, 0) + r.n_tokens
+    assert len(per_shard) > 850 and max(per_shard.values()) < 4 * n // 900  # blocks stay below a shard's size, so shards stay even
+    assert all(0 <= r.drawn_tokens - r.quota_tokens < 60 for r in report.values()) and abs(report["big"].actual_share - 0.6) < 0.001
+    assert len({(r.doc_id, r.repeat_no) for r in rows}) == len(rows) == len({(r.shard, r.position) for r in rows})
+
+
 def test_mixing_nothing(spark):
     _, df = docs(spark, 5)
     targets = spark.createDataFrame([("zz", 1.0, 1)], "source string, target_share double, max_repeats int")
