@@ -11,7 +11,9 @@ tokens and only the rest is packed with others.
 
 from __future__ import annotations
 
+import copy
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +29,18 @@ from spoglio.session import materialize
 
 TERMS = 1 << 16
 _SPLIT = regex.compile(PATTERN)
+# the same pattern for texts of Latin-1 characters alone, whose letters, numbers and blanks plain classes can list
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+_SPLIT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def split(text: str) -> list[str]:
+    """The pieces of the tokenizer's split pattern."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _SPLIT.findall(text)
+    return _SPLIT_LATIN.findall(text)
 
 
 class _Pieces(dict):
@@ -57,7 +71,7 @@ def measure(text: str | None, vocabulary: str = VOCABULARY) -> tuple[int, list[i
         return 0, [], []
     pieces = _pieces.get(vocabulary) or _pieces.setdefault(vocabulary, _Pieces(vocabulary))
     n, terms = 0, {}
-    for piece, times in Counter(_SPLIT.findall(text)).items():
+    for piece, times in Counter(split(text)).items():
         tokens, term = pieces[piece]
         n += tokens * times
         if term:
@@ -70,7 +84,7 @@ class Bm25Shard:
     """Inverted index of one shard with global statistics. A document's query is all its terms. Terms in more than one of `dense`
     documents are kept as whole rows, whose sum costs less than walking their postings."""
 
-    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], idf: np.ndarray, avg_len: float, k1: float = 1.2, b: float = 0.75, dense: int = 8) -> None:
+    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], idf: np.ndarray, avg_len: float, k1: float = 1.2, b: float = 0.75, dense: int = 16) -> None:
         sizes = np.array([len(t) for t in terms], dtype=np.int64)
         term = np.concatenate(terms) if len(terms) else np.zeros(0, int)
         f = (np.concatenate(tf) if len(tf) else np.zeros(0)).astype(np.float64)
@@ -88,67 +102,87 @@ class Bm25Shard:
             self.rows[i, self.doc[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
         self.common = [row[t][row[t] >= 0] for t in terms]
         self.rare = [t[row[t] < 0] for t in terms]
+        kept = row[term[order]] < 0  # postings of the other terms only
+        self._keep(kept, self.doc)
+
+    def _keep(self, kept: np.ndarray, doc: np.ndarray) -> None:
+        self.start = np.concatenate([[0], np.cumsum(kept)])[self.start]
+        self.doc, self.weight = doc[kept], self.weight[kept]
+
+    def of(self, docs: np.ndarray) -> Bm25Shard:
+        """The index of some of the documents, numbered as in `docs`; queries keep the numbers of this one."""
+        out = copy.copy(self)
+        place = np.full(self.n, -1, dtype=np.int32)
+        place[docs] = np.arange(len(docs))
+        out.n, out.rows = len(docs), np.ascontiguousarray(self.rows[:, docs])
+        at = place[self.doc]
+        out._keep(at >= 0, at)
+        return out
 
-    def scores(self, seed: int) -> np.ndarray:
-        """The BM25 score of every document of the shard for the seed's terms; 0 without a common one."""
-        out = self.rows[self.common[seed]].sum(0) if len(self.common[seed]) else np.zeros(self.n, dtype=np.float32)
-        start, size = self.start[self.rare[seed]], self.start[self.rare[seed] + 1] - self.start[self.rare[seed]]
-        if size.sum():
-            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out += np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
+    def scores(self, seeds: list[int]) -> np.ndarray:
+        """The BM25 scores of every document of the index for the terms of each seed; 0 without a common one."""
+        asked = np.zeros((len(seeds), len(self.rows)), dtype=np.float32)
+        for i, seed in enumerate(seeds):
+            asked[i, self.common[seed]] = 1
+        out = asked @ self.rows
+        rare = np.concatenate([self.rare[seed] for seed in seeds])
+        start, size = self.start[rare], self.start[rare + 1] - self.start[rare]
+        if total := int(size.sum()):
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)
+            base = np.repeat(np.arange(len(seeds)) * self.n, [len(self.rare[seed]) for seed in seeds])
+            out += np.bincount(np.repeat(base, size) + self.doc[at], self.weight[at], len(seeds) * self.n).reshape(out.shape)
         return out
 
 
-def pack_shard(sizes: np.ndarray, index: Bm25Shard, capacity: int) -> tuple[np.ndarray, int]:
+def pack_shard(sizes: np.ndarray, index: Bm25Shard, capacity: int, ahead: int = 32) -> tuple[np.ndarray, int]:
     """(container number of each document's last part, number of containers). sizes: what is left to pack of each
     document, 1..capacity, or 0 for nothing. The seed's unused neighbours are taken in the order of score while
-    they fit; a gap that none of them fits takes the largest unused documents that do."""
-    bins = np.full(len(sizes), -1, dtype=np.int64)
-    order = np.argsort(sizes, kind="stable")
-    by_size = sizes[order]
-    place = np.empty(len(sizes), dtype=np.int64)
-    place[order] = np.arange(len(sizes))
-    # previous unused position in size order, with path halving
-    left = np.arange(len(sizes) + 1)
-
-    def unused_at_most(p: int) -> int:
-        while left[p] != p:
-            left[p] = left[left[p]]
-            p = left[p]
-        return p
-
-    def use(doc: int, n: int) -> None:
-        bins[doc] = n
-        left[place[doc] + 1] = place[doc]
-
-    empty = int(np.searchsorted(by_size, 0, "right"))
-    for p in range(empty):
-        left[p + 1] = p
-    smallest, n = by_size[empty] if empty < len(sizes) else 0, 0
-    for p in range(len(sizes) - 1, empty - 1, -1):
-        seed = int(order[p])
+    they fit; a gap that none of them fits takes the largest unused documents that do.
+
+    The next `ahead` seeds are scored at once, and the index is cut down to the unused documents whenever a quarter of it is used."""
+    bins, n = np.full(len(sizes), -1, dtype=np.int64), 0
+    alive = np.flatnonzero(sizes > 0)
+    alive = alive[np.argsort(sizes[alive], kind="stable")]  # by size, so that documents that fit a gap lead
+    seeds = alive[::-1]
+    index, used = index.of(alive), 0
+    size, free = sizes[alive], np.ones(len(alive), dtype=bool)
+    scored: dict[int, np.ndarray] = {}
+    last = len(alive) - 1
+
+    def use(k: int) -> int:
+        nonlocal used
+        bins[alive[k]], free[k], used = n, False, used + 1
+        return int(size[k])
+
+    for at, seed in enumerate(seeds):
         if bins[seed] >= 0:
             continue
-        use(seed, n)
-        gap = capacity - int(sizes[seed])
+        if 4 * used > len(alive):
+            kept = np.flatnonzero(free)
+            index, alive, used, scored = index.of(kept), alive[kept], 0, {}
+            size, free, last = sizes[alive], np.ones(len(alive), dtype=bool), len(alive) - 1
+        while not free[last]:  # the seed is the largest document left
+            last -= 1
+        gap, smallest = capacity - use(last), int(size[0])
         if gap >= smallest:
-            scores = index.scores(seed)
-            near = np.flatnonzero((scores > 0) & (bins < 0) & (sizes > 0) & (sizes <= gap))
-            near = near[np.argsort(-scores[near], kind="stable")]
-            # what doesn't fit now won't fit later: the next that does comes after it
-            while len(near):
-                d = int(near[0])
-                use(d, n)
-                gap -= int(sizes[d])
-                near = near[1:][sizes[near[1:]] <= gap]
+            if int(seed) not in scored:
+                batch = seeds[at : at + 4 * ahead]
+                batch = [int(s) for s in batch[(bins[batch] < 0) | (batch == seed)][:ahead]]
+                scored = dict(zip(batch, index.scores(batch)))
+            scores = scored[int(seed)][: np.searchsorted(size, gap, "right")]
+            near = np.flatnonzero((scores > 0) & free[: len(scores)])
+            while len(near) and gap >= smallest:
+                # the best few first; the others only if space is left after them
+                few = near[np.argpartition(-scores[near], 64)[:64]] if len(near) > 96 else near
+                for k in few[np.lexsort((few, -scores[few]))]:
+                    if size[k] <= gap:
+                        gap -= use(int(k))
+                near = near[free[near] & (size[near] <= gap) & (len(few) < len(near))]
         while gap >= smallest:
-            top = int(np.searchsorted(by_size, gap, "right"))
-            q = unused_at_most(top)
-            if q <= empty:
+            fits = np.flatnonzero(free[: np.searchsorted(size, gap, "right")])
+            if not len(fits):
                 break
-            d = int(order[q - 1])
-            use(d, n)
-            gap -= int(sizes[d])
+            gap -= use(int(fits[-1]))
         n += 1
     return bins, n
 

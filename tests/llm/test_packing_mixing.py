@@ -52,10 +52,32 @@ def test_bm25_prefers_common_rare_terms():
     idf = np.ones(packing.TERMS, dtype=np.float32)
     idf[7] = 5
     t = [np.array([1, 7]), np.array([1, 2]), np.array([7, 9]), np.array([3])]
-    s = packing.Bm25Shard(t, [np.ones(len(x)) for x in t], idf, 2.0).scores(0)
+    s = packing.Bm25Shard(t, [np.ones(len(x)) for x in t], idf, 2.0).scores([0])[0]
     assert s[2] > s[1] > 0 == s[3]
 
 
+def test_scores_of_a_part_and_of_frequent_terms():
+    rng = np.random.default_rng(2)
+    terms = [np.unique(rng.integers(1, 400, rng.integers(1, 60)) ** 2 % 900 + 1) for _ in range(90)]
+    tf = [rng.integers(1, 9, len(t)) for t in terms]
+    idf = rng.random(packing.TERMS).astype(np.float32)
+    length = np.array([t.sum() for t in tf])
+    weight = [idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / length.mean())) for t, f, n in zip(terms, tf, length)]
+    want = np.array([[sum(w for t, w in zip(terms[d], weight[d]) if t in set(terms[q])) for d in range(90)] for q in range(90)])
+    for dense in (1, 8, 10_000):
+        index = packing.Bm25Shard(terms, tf, idf, length.mean(), dense=dense)
+        assert np.allclose(index.scores(list(range(90))), want, atol=1e-3)
+        some = np.array([7, 3, 80, 41])
+        assert np.allclose(index.of(some).scores([5, 80]), want[[5, 80]][:, some], atol=1e-3)
+
+
+def test_split_of_latin_texts():
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(chr(rng.choice([32, 39, 116, rng.randrange(256), rng.randrange(97, 123)])) for _ in range(rng.randrange(1, 40)))
+        assert packing.split(t) == packing._SPLIT.findall(t), repr(t)
+
+
 def test_tree_is_exact():
     quotas = np.array([1000, 7, 0, 333])
     for n in (1, 2, 3, 7, 16):
