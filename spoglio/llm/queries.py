@@ -30,11 +30,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with placeholders in place of what was found."""
-    from spoglio.llm.pii import name_lexicon, redact_column
+    from spoglio.llm.pii import name_words, redact_column
 
     texts = table(spark, sf_dir, "sanitize_results").select("job_id", "markdown").distinct()
-    lexicon = name_lexicon(texts, "markdown")
-    texts = redact_column(texts, "markdown", lexicon=lexicon).select(F.lit("markdown").alias("field"), F.col("job_id").alias("rec_id"), F.col("markdown").alias("text"))
+    words = name_words(texts, "markdown")
+    texts = redact_column(texts, "markdown", words=words).select(F.lit("markdown").alias("field"), F.col("job_id").alias("rec_id"), F.col("markdown").alias("text"))
     for c in ("value", "source"):
         judge = table(spark, sf_dir, "judgment_analyses").select(F.lit(f"judge.{c}").alias("field"), F.col("analysis_id").alias("rec_id"), F.col(f"judge.{c}").alias("text")).distinct()
         texts = texts.unionByName(redact_column(judge, "text", loose_names=True))

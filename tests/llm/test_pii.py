@@ -60,3 +60,28 @@ def test_frames(spark):
     assert got.columns == ["rec_id", "kind", "value"] and got.where("rec_id = 1").count() == 6 and got.count() == 7
     assert pii.find_personal_information(df.limit(0), "id", "t").count() == 0
     assert pii.redact_column(df, "t").columns == ["id", "t", "kind"]
+
+
+def test_identity_numbers_from_their_joints_and_cues():
+    for text, value in (("nata a Borgo, codice fiscale: RSSMRALRTMLALSMS x", None), ("C.F. rssmra85t10a562s;", "rssmra85t10a562s"), ("carta CA 12345 AB del", "CA 12345 AB"), ("RSS MRA 85T10 A562S, CA12345AB", "CA12345AB"), ("vedi mailto:a.b@c.example", None), ("del 130 e il 13", None)):
+        got = {v for k, v in found(text) if k == "id_number"}
+        assert (value in got) if value else not got - {"RSSMRALRTMLALSMS"}
+    assert ("email", "a.b@c.example") in found("vedi mailto:a.b@c.example") and ("phone", "+393385552578") in found("tel:+393385552578")
+
+
+def test_a_long_text_is_swept_once():
+    import time
+
+    text = " ".join(f"avv. Rossi Ugo, via del Tiglio, n. {i}, 23147 Borgo, x{i}@y.example, 021 555{i:04d}." for i in range(4000))
+    began = time.time()
+    spans = pii.find(text)
+    assert time.time() - began < 8 and len(spans) == 4 * 4000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_long_list_of_names_gives_the_same(spark):
+    rows = [(i, f"Il teste Rossi{c} Ugo ha detto. Il teste Rossi{c} Ugo tace. co-\nntattare Rossi{c} Ugo al", "x") for i, c in enumerate("abcabcabc" * 3)] + [(99, None, "x"), (100, "", "x"), (101, "niente", "x")]
+    df = spark.createDataFrame(rows, "id long, t string, word string")
+    few, many = (sorted(map(tuple, pii.find_personal_information(df, "id", "t", most=m).collect())) for m in (1000, 1))
+    assert few == many and len(few) == 27
+    one, two = (sorted(map(tuple, pii.redact_column(df, "t", words=pii.name_words(df, "t"), most=m).na.fill("-").collect())) for m in (1000, 1))
+    assert one == two and len(one) == 30 and str(one).count("[NAME]") == 81
