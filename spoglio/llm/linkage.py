@@ -3,9 +3,9 @@
 Entries and files share no key, but each yields the same partial attributes: the act named (mapped to the
 canonical list), a date, a protocol number, a person, and the reference or path itself, folded to
 letters and digits. Candidate pairs come from several blocking passes inside the folder or unit that the index
-lists. Every pair gets a level of agreement for each attribute; the probabilities of the levels among matches are
-estimated by expectation maximisation over the counts of the level patterns, those among non-matches from random pairs, and the
-posterior of a pattern is the confidence of its pairs.
+lists, wide enough that most pairs are none. Every pair gets a level of agreement for each attribute; the probabilities of the levels
+among matches and non-matches are estimated by expectation maximisation over the counts of the level patterns, and the
+posterior of a pattern is the confidence of its pairs, which accepts or rejects them.
 """
 
 from __future__ import annotations
@@ -80,6 +80,7 @@ class Acts:
         for n, text in entries:
             self.first.setdefault(fold(text).split()[0], []).append(n)
         self.like: dict[str, bool] = {}
+        self.known: dict[str, tuple[int, str | None]] = {}
 
     def word_of_title(self, token: str) -> bool:
         """Whether a word may belong to a title: one of its words, cut short or misspelt."""
@@ -109,7 +110,16 @@ class Acts:
         return got
 
     def read(self, text: str) -> tuple[int, str | None]:
-        """(title or 0, person in lower case or None) of text without dates and numbers."""
+        """(title or 0, person in lower case or None) of text without dates and numbers; equal texts are read once."""
+        text = re.sub(r"\s+", " ", text).strip()
+        got = self.known.get(text)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[text] = self._read(text)
+        return got
+
+    def _read(self, text: str) -> tuple[int, str | None]:
         m = _PERSON.search(text)
         person = m[1] if m else None
         if m:
@@ -156,7 +166,7 @@ class Acts:
                     best = (d, n, who_is)
             if not best[1] and aside is None and len(tokens) == 1 and not person and tokens[0].lower().rstrip(".") not in GENERIC and not self.word_of_title(tokens[0]):
                 best = (8.9, 0, tokens[0].rstrip("."))
-            if not best[1] and aside and best[2] is None:
+            if not best[1] and aside and best[2] is None and not self.word_of_title(aside):
                 best = (8.9, 0, aside)
         who = person or best[2]
         who = fold(who).replace("0", "o").replace("1", "l") if who else None
@@ -182,36 +192,64 @@ def stem(path: str) -> str:
     return re.sub(r"\.[A-Za-z]{3,4}$", "", name)
 
 
-#: Attributes of a pair and their levels, from worst to best.
-LEVELS = {"title": 3, "day": 3, "number": 3, "person": 4, "path": 4, "main": 2}
+#: Attributes of a pair and their levels, from worst to best; level MISSING, where one side lacks the attribute, is no evidence.
+LEVELS = {"title": 3, "day": 3, "number": 3, "person": 4, "path": 4, "main": 3}
+MISSING = 1
 _PAIR = list(LEVELS)
 
 
-def fit(patterns: pd.DataFrame, chance: pd.DataFrame, rounds: int = 200, prior: float = 0.5) -> tuple[np.ndarray, dict]:
-    """Posterior probability of a match for each pattern of levels, under independence given the class.
+def fit(patterns: pd.DataFrame, chance: pd.DataFrame, rounds: int = 300, prior: float = 0.5, slip: float = 0.002, believed: float = 5.0, odd: float = 0.05, known: float = 0.1) -> tuple[np.ndarray, dict]:
+    """Log odds of a match for each pattern of levels, under independence given the class.
 
-    patterns: the columns of LEVELS and n, of the candidate pairs; chance: the same of pairs drawn at random, practically all
-    of them non-matches, which give the non-matches' probabilities. Those of the matches and their share are found by
-    expectation maximisation, from the assumption that higher levels are likelier among matches."""
+    patterns: the columns of LEVELS and n, of the candidate pairs; chance: the same of pairs drawn at random, practically all of them
+    non-matches, from which the probabilities among non-matches start and which stay known non-matches, with the weight of `known` of the candidates. The probabilities among matches and
+    among non-matches and the share of matches are found by expectation maximisation, from the assumption that higher levels are likelier
+    among matches."""
     if not len(patterns):
         return np.zeros(0), {}
     n = patterns["n"].to_numpy(dtype=float)
     at = {a: patterns[a].to_numpy(dtype=int) for a in _PAIR}
-    m = {a: np.linspace(1, 4 * k, k) / np.linspace(1, 4 * k, k).sum() for a, k in LEVELS.items()}
-    u = {a: np.array([chance.loc[chance[a] == v, "n"].sum() + 0.5 for v in range(k)]) / (chance["n"].sum() + 0.5 * k) for a, k in LEVELS.items()}
-    p, g = prior, np.zeros(len(n))
-    against = np.prod([u[a][at[a]] for a in _PAIR], axis=0)
+
+    def shares(counts: np.ndarray, belief: np.ndarray) -> np.ndarray:
+        """Of the levels that say something, with `believed` pairs spread as `belief`; none falls below `slip`, the chance that an
+        attribute was misread."""
+        says = np.arange(len(counts)) != MISSING
+        counts = np.where(says, counts + believed * belief / belief[says].sum(), 0.0)
+        return np.where(says, np.maximum(counts / counts.sum(), slip), 1.0)
+
+    def held(a: str, found: np.ndarray, free: str, most: slice) -> np.ndarray:
+        """The share of the levels `most` bounded by `odd`: of disagreement in what describes a match, but for references, which go
+        stale, and of agreement in what describes none, but for the act, which candidates share by their keys."""
+        bound = np.zeros(len(found), dtype=bool)
+        bound[most] = True
+        bound[MISSING] = False
+        rest, says = found[~bound].sum() - 1.0, np.arange(len(found)) != MISSING
+        if a == free or found[bound].sum() <= odd or rest <= 0:
+            return found
+        return np.where(says, np.where(bound, found * odd / found[bound].sum(), found * (1 - odd) / rest), 1.0)
+
+    rising = {a: np.linspace(1, 4 * k, k) ** 2 for a, k in LEVELS.items()}
+    none = {a: np.array([chance.loc[chance[a] == v, "n"].sum() for v in range(k)], dtype=float) * known * n.sum() / max(chance["n"].sum(), 1) for a, k in LEVELS.items()}
+    m, u, p = {a: shares(0 * rising[a], rising[a]) for a in LEVELS}, {a: shares(none[a], rising[a][::-1]) for a in LEVELS}, prior
     for _ in range(rounds):
-        like = np.prod([m[a][at[a]] for a in _PAIR], axis=0) * p
-        g = like / np.maximum(like + against * (1 - p), 1e-300)
-        new = (g * n).sum() / n.sum()
-        for a, k in LEVELS.items():
-            hit = np.array([(g * n)[at[a] == v].sum() for v in range(k)])
-            m[a] = (hit + 0.1) / (hit.sum() + 0.1 * k)
+        odds = sum(np.log(m[a][at[a]] / u[a][at[a]]) for a in _PAIR) + np.log(p / (1 - p))
+        g = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        new = float(np.clip((g * n).sum() / n.sum(), 1e-6, 1 - 1e-6))
+        m = {a: held(a, shares(np.array([(g * n)[at[a] == v].sum() for v in range(k)]), rising[a]), "path", slice(0, 1)) for a, k in LEVELS.items()}
+        u = {a: held(a, shares(none[a] + [((1 - g) * n)[at[a] == v].sum() for v in range(k)], rising[a][::-1]), "title", slice(2, k)) for a, k in LEVELS.items()}
         if abs(new - p) < 1e-9:
             break
-        p = min(max(new, 1e-6), 1 - 1e-6)
-    return g, {"p": p, "m": m, "u": u}
+        p = new
+    return odds, {"p": p, "m": m, "u": u}
+
+
+def threshold(odds: np.ndarray, n: np.ndarray, most_wrong: float = 0.01) -> float:
+    """The least posterior at which the pairs accepted are expected to be wrong in at most `most_wrong` of them, never below one half."""
+    g = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    order = np.argsort(-g, kind="stable")
+    wrong = np.cumsum(((1 - g) * n)[order]) / np.maximum(np.cumsum(n[order]), 1e-9)
+    good = np.flatnonzero((wrong <= most_wrong) & (g[order] >= 0.5))
+    return float(g[order][good[-1]]) if len(good) else 1.0
 
 
 def _read_entries(acts: list[tuple[int, str]]):
@@ -258,12 +296,12 @@ def link_entries(entries: DataFrame, files: DataFrame, acts: DataFrame) -> DataF
     relative_path) and acts (canon_id, canonical) -> entry_id, case_doc_id, confidence, levels: the file each entry
     describes, at most one.
 
-    A pair is accepted if the reference is the file's path or name but for separators, case and encoding, if the entry
-    stands for its unit's own document, or if the acts agree (where the file name has one) and the date, the protocol number or
-    the person as well. Among several the one named by path, then by name, then of the greatest posterior, then an original before
-    its copy is taken, the least id at last. Entries without such a file have no row. Nulls in any column agree with
-    nothing; rows delivered twice count once; empty tables give no rows. Technical markers and index files are nobody's
-    file. Other columns are ignored.
+    A pair is accepted by its posterior, at a threshold fitted so that at most a hundredth of the accepted pairs is expected to be
+    wrong; of an entry's accepted files the one of the greatest log odds is taken, an original before its copy, the least id at last. An exact
+    check follows: the reference is the file's path or name but for separators, case and encoding, or the entry stands for its unit's own
+    document, or no two acts contradict each other and the date, the protocol number or the person agrees. Entries without
+    such a file have no row. Nulls in any column agree with nothing; rows delivered twice count once; empty tables give no rows. Technical
+    markers and index files are nobody's file. Other columns are ignored.
     """
     spark = entries.sparkSession
     listed = [(int(r.canon_id), r.canonical) for r in acts.select("canon_id", "canonical").dropna().orderBy("canon_id").collect()]
@@ -278,51 +316,78 @@ def link_entries(entries: DataFrame, files: DataFrame, acts: DataFrame) -> DataF
     d = d.mapInPandas(_read_files(listed), "case_doc_id long, casefile_id string, file_unit string, title int, day long, number long, person string, path string, inner string, name string, is_main boolean, is_copy boolean")
     d = materialize(d, "link-files")
 
-    key = lambda kind, *xs: F.concat_ws("|", F.lit(kind), *[x.cast("string") for x in xs])
-    t = F.col("t")
-    e_keys = e.withColumn("t", F.explode(F.array_union(F.col("titles"), F.array(F.lit(0))))).select(
-        "entry_id", "casefile_id", "unit",
-        F.explode(F.array_distinct(F.concat(
-            F.transform("days", lambda x: key("D", t, x)), F.transform("numbers", lambda x: key("R", t, x)),
-            F.transform("persons", lambda x: key("S", t, F.substring(x, 1, 3))), F.transform("persons", lambda x: key("E", t, F.substring(x, -3, 3))),
-            F.array_compact(F.array(key("N", F.col("ref_name")))), F.filter(F.array(F.when(F.col("main_of").isNotNull(), key("M", F.col("main_of")))), lambda x: x.isNotNull()),
-        ))).alias("key"),
-    )
-    e_keys = e_keys.where("key <> 'N'").distinct()
-    title = F.col("title")
-    d_keys = d.select("case_doc_id", "casefile_id", "file_unit", F.explode(F.array_compact(F.array(
-        F.when(F.col("day").isNotNull(), key("D", title, F.col("day"))), F.when(F.col("number").isNotNull(), key("R", title, F.col("number"))),
-        F.when(F.col("person").isNotNull(), key("S", title, F.substring("person", 1, 3))), F.when(F.col("person").isNotNull(), key("E", title, F.substring("person", -3, 3))),
-        F.when(F.col("name").isNotNull(), key("N", F.col("name"))), F.when(F.col("is_main"), key("M", F.col("file_unit"))),
-    ))).alias("key"))
-    # an index in a unit meets that unit's files, an index at the root those of the whole folder
-    d_keys = d_keys.withColumn("unit", F.explode(F.array_distinct(F.array(F.col("file_unit"), F.lit(""))))).select("case_doc_id", "casefile_id", "unit", "key")
-    pairs = e_keys.join(d_keys, ["casefile_id", "unit", "key"]).select("entry_id", "case_doc_id").distinct()
-
+    pairs = _candidates(e, d)
     agree = lambda have, want: F.when(F.col(want).isNull() | (F.size(have) == 0), 1).when(F.array_contains(F.col(have), F.col(want)), 2).otherwise(0)
     gap = F.array_min(F.transform("persons", lambda p: F.levenshtein(p, F.col("person"))))
     levels = [
         "entry_id", "case_doc_id", "is_copy",
-        F.when(title == 0, 1).when(F.array_contains(F.col("titles"), title), 2).otherwise(0).alias("title"),
+        F.when((F.col("title") == 0) | (F.size("titles") == 0), 1).when(F.array_contains(F.col("titles"), F.col("title")), 2).otherwise(0).alias("title"),
         agree("days", "day").alias("day"), agree("numbers", "number").alias("number"),
         F.when(F.col("person").isNull() | (F.size("persons") == 0), 1).when(gap == 0, 3).when(gap <= 2, 2).otherwise(0).alias("person"),
         F.when(F.col("ref_path").isNull(), 1).when((F.col("ref_path") == F.col("path")) | (F.col("ref_path") == F.col("inner")), 3).when(F.col("ref_name") == F.col("name"), 2).otherwise(0).alias("path"),
-        F.coalesce(F.col("is_main") & (F.col("main_of") == F.col("file_unit")), F.lit(False)).cast("int").alias("main"),
+        F.when(F.col("main_of").isNull(), 1).when(F.col("is_main") & (F.col("main_of") == F.col("file_unit")), 2).otherwise(0).alias("main"),
     ]
     compare = lambda p: p.join(e.drop("casefile_id"), "entry_id").join(d.drop("casefile_id"), "case_doc_id").select(levels)
     both = materialize(compare(pairs), "link-pairs")
-    # about one random file for each entry, from anywhere
-    n = max(1, e.count())
+    # about one random file for each entry, from anywhere; of a small input some more
+    n, most = e.count(), d.count()
+    n = max(1, n * most // max(n, 20_000))
     toss = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n))
     random = e.select("entry_id", toss("entry_id", 1).alias("b")).join(d.select("case_doc_id", toss("case_doc_id", 2).alias("b")), "b").select("entry_id", "case_doc_id")
     # at most the product of LEVELS
     count = lambda p: p.groupBy(*_PAIR).agg(F.count("*").alias("n")).toPandas().sort_values(_PAIR).reset_index(drop=True)
     patterns = count(both)
-    posterior, _ = fit(patterns, count(compare(random)))
-    scored = patterns[_PAIR].assign(confidence=posterior)
-    scored = spark.createDataFrame(scored, ", ".join(f"{a} int" for a in _PAIR) + ", confidence double") if len(scored) else spark.createDataFrame([], ", ".join(f"{a} int" for a in _PAIR) + ", confidence double")
-    holds = (F.col("path") >= 2) | (F.col("main") == 1) | ((F.col("title") >= 1) & ((F.col("day") == 2) | (F.col("number") == 2) | (F.col("person") >= 2)))
-    ranked = both.join(F.broadcast(scored), _PAIR).where(holds)
-    best = Window.partitionBy("entry_id").orderBy(F.greatest("path", F.lit(1)).desc(), F.desc("main"), F.desc("confidence"), F.desc("person"), F.asc("is_copy"), F.asc("case_doc_id"))
-    out = ranked.withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    odds, _ = fit(patterns, count(compare(random)))
+    least = threshold(odds, patterns["n"].to_numpy(dtype=float))
+    fitted = ", ".join(f"{a} int" for a in _PAIR) + ", odds double, confidence double"
+    scored = patterns[_PAIR].assign(odds=odds, confidence=1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+    scored = spark.createDataFrame(scored if len(scored) else [], fitted)
+    accepted = both.join(F.broadcast(scored), _PAIR).where(F.col("confidence") >= least)
+    best = Window.partitionBy("entry_id").orderBy(F.desc("odds"), F.asc("is_copy"), F.asc("case_doc_id"))
+    holds = (F.col("path") >= 2) | (F.col("main") == 2) | ((F.col("title") >= 1) & ((F.col("day") == 2) | (F.col("number") == 2) | (F.col("person") >= 2)))
+    out = accepted.where(holds).withColumn("rank", F.row_number().over(best)).where("rank = 1")
     return out.select("entry_id", "case_doc_id", "confidence", F.concat_ws(" ", *[F.concat(F.lit(f"{a}="), F.col(a)) for a in _PAIR]).alias("levels"))
+
+
+def _candidates(e: DataFrame, d: DataFrame, block: int = 256) -> DataFrame:
+    """entry_id, case_doc_id of every pair that shares a key of one of the passes, inside the folder or unit that the index lists.
+
+    Everywhere: the file's name; the unit's own document; the act (or none) with the date, with the number, and with the person by its first three or last three letters, by
+    three letters of its middle and by the name less any one letter, so that a name with one edit anywhere, or two in a name of nine letters, is met. Within a unit also
+    the act, the date, the number or the person alone, whose pairs a unit's size bounds. The pairs of a crowded key are made in squares of about `block`
+    rows to the side, in different tasks."""
+    key = lambda kind, *xs: F.concat_ws("|", F.lit(kind), *[x.cast("string") for x in xs])
+    middle = lambda x, by: F.substring(x, F.greatest(F.lit(1), F.floor(F.length(x) / 2).cast("int") + by), F.lit(3))
+    variants = lambda x: F.concat(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
+
+    def person(t, x, shifts):
+        return F.concat(F.array(key("S", t, F.substring(x, 1, 3)), key("E", t, F.substring(x, -3, 3)), *[key("G", t, middle(x, by)) for by in shifts]), F.transform(variants(x), lambda v: key("V", t, v)))
+
+    titles = F.array_union(F.col("titles"), F.array(F.lit(0)))
+    over = lambda xs, f: F.flatten(F.transform(titles, lambda t: F.flatten(F.transform(xs, lambda x: f(t, x)))))
+    one = lambda kind: lambda t, x: F.array(key(kind, t, x))
+    present = lambda c, k: F.when(F.col(c).isNotNull(), F.array(k)).otherwise(F.array().cast("array<string>"))
+    inside = F.col("unit") != ""
+    alone = F.concat(F.transform("titles", lambda x: key("t", x)), F.transform("days", lambda x: key("d", x)), F.transform("numbers", lambda x: key("r", x)), F.transform("persons", lambda x: key("p", F.substring(x, 1, 3))))
+    e_keys = e.select("entry_id", "casefile_id", "unit", F.explode(F.array_distinct(F.concat(
+        over(F.col("days"), one("D")), over(F.col("numbers"), one("R")), over(F.col("persons"), lambda t, x: person(t, x, (-1, 0, 1))),
+        present("ref_name", key("N", F.col("ref_name"))), present("main_of", key("M", F.col("main_of"))), F.when(inside, alone).otherwise(F.array().cast("array<string>")),
+    ))).alias("key"))
+    t = F.col("title")
+    named = lambda c, k: F.when(F.col(c).isNotNull(), k).otherwise(F.array().cast("array<string>"))
+    always = F.concat(
+        named("day", F.array(key("D", t, F.col("day")))), named("number", F.array(key("R", t, F.col("number")))), named("person", person(t, F.col("person"), (0,))),
+        present("name", key("N", F.col("name"))), F.when(F.col("is_main"), F.array(key("M", F.col("file_unit")))).otherwise(F.array().cast("array<string>")))
+    alone = F.concat(F.when(t > 0, F.array(key("t", t))).otherwise(F.array().cast("array<string>")), present("day", key("d", F.col("day"))), present("number", key("r", F.col("number"))), present("person", key("p", F.substring("person", 1, 3))))
+    # an index in a unit meets that unit's files, an index at the root those of the whole folder
+    root = d.select("case_doc_id", "casefile_id", F.lit("").alias("unit"), F.explode(F.array_distinct(always)).alias("key"))
+    d_keys = root.unionByName(d.where("file_unit <> ''").select("case_doc_id", "casefile_id", F.col("file_unit").alias("unit"), F.explode(F.array_distinct(F.concat(always, alone))).alias("key")))
+    by = ["casefile_id", "unit", "key"]
+    sized = lambda rows, side: rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias(side))
+    crowd = sized(e_keys, "es").join(sized(d_keys, "ds"), by).where("es > 1 or ds > 1")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    squares = lambda rows: rows.join(crowd, by, "left").na.fill(1, ["es", "ds"])
+    left = squares(e_keys).select("entry_id", *by, part("entry_id", "es").alias("i"), spread("ds").alias("j"))
+    right = squares(d_keys).select("case_doc_id", *by, part("case_doc_id", "ds").alias("j"), spread("es").alias("i"))
+    return left.join(right, [*by, "i", "j"]).select("entry_id", "case_doc_id").distinct()

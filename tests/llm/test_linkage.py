@@ -13,6 +13,7 @@ def test_attributes():
     assert read("prot82713_verba_arres_flagr_Verdone") == (502, None, 82713, "verdone")
     assert read("scan 22.09.2015 38119") == (0, 20150922, 38119, None)
     assert read("A carico di Verdone - DECRETO DI INTERCETTAZIONE 5/5/17") == (526, 20170505, None, "verdone")
+    assert L.Acts([(532, "Nomina del difensore"), (518, "Certificato del casellario"), (519, "Certificato medico")]).attributes("Certificato - Malvonazzo") == (0, None, None, "malvonazzo")
     assert read("") == read(None) == (0, None, None, None)
     assert L.squash("./Atti%20X/001_a.PDF") == "attix001apdf" and L.squash("--") is None
 
@@ -44,3 +45,58 @@ def test_links(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 6: 5}
     assert L.link_entries(entries.limit(0), files, acts).count() == 0
     assert L.link_entries(entries, files.limit(0), acts).count() == 0
+
+
+def planted(n=300, hot=False):
+    """Files, entries and the file each entry describes; with `hot` all in one folder, under one index at its root."""
+    rng = np.random.default_rng(6)
+    surnames = ["".join(rng.choice(list("bcdfglmnprstv"))+rng.choice(list("aeiou")) for _ in range(4)) + "xyzkw"[rng.integers(5)] for _ in range(200)]
+    files, entries, truth, seen = [], [], {}, set()
+    while len(files) < n:
+        i, act, day, number, who = len(files) + 1, int(rng.integers(4)), f"{rng.integers(1, 29):02d}-{rng.integers(1, 13):02d}-20{rng.integers(10, 24)}", int(rng.integers(10_000, 99_999)), surnames[rng.integers(200)]
+        if (act, day) in seen or (act, who) in seen:
+            continue
+        seen |= {(act, day), (act, who)}
+        case, unit = ("c", "1") if hot else (f"c{i % 5}", str(i % 20))
+        files.append((i, case, f"{unit}/{ACTS[act][1].replace(' ', '_')}_{who}_{day}_{number}.pdf"))
+        spelt, at = list(who), int(rng.integers(len(who)))
+        spelt[at] = "x"
+        label = f"{ACTS[act][1]}" + [f" c/ {''.join(spelt)} del {day.replace('-', '/')}", f" del {day.replace('-', '/')} prot. {number}", f" prot. {number}", f" c/ {who} prot. {number}"][i % 4]
+        entries.append((i, case, "indice.csv" if hot else f"{unit}/ListaAllegati.html", label, None, None))
+        truth[i] = i
+    return files, entries, truth
+
+
+def frames(spark, files, entries):
+    return spark.createDataFrame(entries, "entry_id long, casefile_id string, index_path string, label string, referenced_path string, document_date string"), spark.createDataFrame(files, "case_doc_id long, casefile_id string, relative_path string"), spark.createDataFrame(ACTS, "canon_id int, canonical string")
+
+
+def test_planted_links_and_blocking_recall(spark):
+    for hot in (False, True):
+        files, entries, truth = planted(hot=hot)
+        got = {r.entry_id: r.case_doc_id for r in L.link_entries(*frames(spark, files, entries)).collect()}
+        right = sum(truth[e] == d for e, d in got.items())
+        assert right >= 0.97 * len(truth) and right >= 0.98 * len(got), (hot, right, len(got))
+
+
+def test_the_posterior_rejects_what_the_rule_alone_would_accept():
+    # title, day, number, person, path, main: as often as in a collection of case folders
+    rows = [((2, 2, 1, 1, 1, 1), 1640), ((2, 0, 1, 1, 0, 1), 1464), ((1, 1, 1, 1, 3, 2), 1354), ((2, 0, 1, 1, 1, 1), 1096), ((2, 1, 2, 1, 1, 1), 1008), ((2, 2, 1, 3, 3, 1), 949), ((2, 1, 1, 1, 1, 1), 784), ((2, 2, 2, 1, 3, 1), 779), ((2, 1, 0, 1, 0, 1), 671),
+            ((2, 1, 0, 1, 1, 1), 588), ((2, 2, 1, 3, 1, 1), 534), ((2, 1, 1, 3, 1, 1), 528), ((2, 0, 1, 0, 0, 1), 467), ((2, 1, 1, 0, 0, 1), 370), ((0, 1, 1, 0, 1, 1), 235), ((2, 0, 0, 3, 1, 1), 4), ((1, 2, 2, 1, 1, 1), 21)]
+    frame = lambda rs: pd.DataFrame([(*levels, n) for levels, n in rs], columns=[*L.LEVELS, "n"])
+    chance = frame([((0, 0, 0, 0, 0, 1), 9000), ((0, 1, 1, 0, 1, 1), 5000), ((2, 0, 0, 0, 0, 1), 200), ((0, 0, 1, 3, 0, 1), 40), ((0, 2, 1, 0, 0, 1), 3)])
+    odds, _ = L.fit(frame(rows), chance)
+    least = L.threshold(odds, np.array([n for _, n in rows], dtype=float))
+    accepted = {levels for (levels, _), o in zip(rows, odds) if 1 / (1 + np.exp(-o)) >= least}
+    assert (2, 0, 0, 3, 1, 1) not in accepted and (2, 0, 1, 1, 0, 1) not in accepted and (0, 1, 1, 0, 1, 1) not in accepted
+    assert {(2, 2, 1, 1, 1, 1), (2, 1, 2, 1, 1, 1), (1, 1, 1, 1, 3, 2), (2, 1, 1, 3, 1, 1), (1, 2, 2, 1, 1, 1)} <= accepted
+
+
+def test_crowded_keys_meet_in_squares(spark):
+    files, entries, _ = planted(60, hot=True)
+    e = spark.createDataFrame([(i, "c", "", [501], [20200101 + i % 2], [], ["rossi"], None, None, None) for i in range(40)], "entry_id long, casefile_id string, unit string, titles array<int>, days array<long>, numbers array<long>, persons array<string>, ref_path string, ref_name string, main_of string")
+    d = spark.createDataFrame([(i, "c", "1", 501, 20200101 + i % 2, None, "rossi", "p", "p", f"n{i}", False, False) for i in range(50)], "case_doc_id long, casefile_id string, file_unit string, title int, day long, number long, person string, path string, inner string, name string, is_main boolean, is_copy boolean")
+    want = {(a, b) for a in range(40) for b in range(50)}
+    for block in (4, 7, 256):
+        rows = L._candidates(e, d, block).collect()
+        assert len(rows) == len(want) and {(r.entry_id, r.case_doc_id) for r in rows} == want
