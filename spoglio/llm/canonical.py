@@ -2,9 +2,9 @@
 
 Entries and values are folded to words without articles and prepositions. The trie holds each entry's words and has
 alias paths: out of the inside of a word to its end, taken where the typed word ends early ("verb.", "perquis",
-"trib.le"), and whole entries under fixed acronyms ("GdP"). The automaton walks the trie with one row of edit
-distances (insertions, deletions, substitutions, swapped neighbours) for each node and leaves a branch as soon as the whole row
-exceeds what a value of that length may differ by. A value whose parts stand in the other order ("Montescuro -
+"trib.le"), and whole entries under fixed acronyms ("GdP"). The automaton walks the trie; its state at a node
+is the set of places in the typed value that are within the edits (insertions, deletions, substitutions, swapped neighbours) a value of that length may differ by,
+and a branch is left as soon as the state is empty. A value whose parts stand in the other order ("Montescuro -
 Tribunale", "archiviazione (decreto)") is searched in both orders. All entries within the distance are found;
 the nearest is the answer, none if the nearest two tie.
 """
@@ -139,48 +139,73 @@ class Trie:
             else:
                 chars.append(c)
         text, limit = "".join(chars), allowed(len(chars) - 1)
-        n = len(text)
-        ends = [j for j in range(1, n) if text[j] == " "]
-        far = limit + 1.0
-
-        def step(row: list[float], before: list[float] | None, c: str, last: str) -> list[float]:
-            new = [row[0] + 1]
-            for j in range(1, n + 1):
-                d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (text[j - 1] != c))
-                if before is not None and j > 1 and text[j - 1] == last and text[j - 2] == c:
-                    d = min(d, before[j - 2] + 1)
-                new.append(d)
-            return new
-
-        # a node, its row, the row before, the last letter, letters since the word began, and at each end of a typed word
+        n, far = len(text), limit + 1.0
+        ends = {j for j in range(1, n) if text[j] == " "}
+
+        # a state of the automaton: the places in the typed text that are within the limit, in order, with their edits
+        def closed(cells: dict[int, float]) -> list[tuple[int, float]]:
+            """With what is reached by leaving out typed letters."""
+            out, at, d = [], n, far
+            for j, e in sorted(cells.items()):
+                while at + 1 < j and d + 1 <= limit:
+                    at, d = at + 1, d + 1
+                    out.append((at, d))
+                if at + 1 == j and d + 1 < e:
+                    e = d + 1
+                out.append((j, e))
+                at, d = j, e
+            while at < n and d + 1 <= limit:
+                at, d = at + 1, d + 1
+                out.append((at, d))
+            return out
+
+        def step(row: list[tuple[int, float]], before: list[tuple[int, float]], c: str, last: str) -> list[tuple[int, float]]:
+            new: dict[int, float] = {}
+            for j, d in row:
+                e = d + 1
+                if e <= limit and e < new.get(j, far):
+                    new[j] = e
+                if j < n:
+                    if text[j] == c:
+                        e = d
+                    if e <= limit and e < new.get(j + 1, far):
+                        new[j + 1] = e
+            for j, d in before:
+                if j + 1 < n and text[j + 1] == last and text[j] == c and d + 1 <= limit and d + 1 < new.get(j + 2, far):
+                    new[j + 2] = d + 1
+            return closed(new)
+
+        # a node, its state, the state before, the last letter, letters since the word began, and at each end of a typed word
         # the least cost at which a beginning of the present word meets it
-        todo = [(self.root, [float(j) for j in range(n + 1)], None, "", 0, {})]
+        todo = [(self.root, closed({0: 0.0}), [], "", 0, {})]
         while todo:
             node, row, before, last, depth, early = todo.pop()
-            if min(row) > limit and not early:
+            if not row and not early:
                 continue
             for c, child in node.next.items():
                 if c == " ":
                     merged = row
                     if early:
-                        merged = list(row)
+                        cells = dict(row)
                         for j, d in early.items():
-                            merged[j] = min(merged[j], d)
-                        for j in range(1, n + 1):
-                            merged[j] = min(merged[j], merged[j - 1] + 1)
+                            if d <= limit and d < cells.get(j, far):
+                                cells[j] = d
+                        merged = closed(cells)
                     new = step(merged, before, c, last)
-                    if child.entry and new[n] <= limit:
+                    if child.entry and new and new[-1][0] == n:
                         for e in child.entry:
-                            best[e] = min(best.get(e, far), new[n])
+                            best[e] = min(best.get(e, far), new[-1][1])
                     todo.append((child, new, row, c, 0, {}))
                 else:
                     new = step(row, before, c, last)
                     known = early
-                    for j in ends:
-                        cost = new[j] + (0.01 if j in dots else 0.3)
-                        if cost <= limit + 0.31 and (j in dots or depth >= 2) and new[j] < 1.5 and cost < known.get(j, far):
-                            if new[j] < 0.95 or depth >= (2 if j in dots else 3) or depth == 0 and j in dots and text[j - 1] == c:
-                                known = {**known, j: cost} if known is early else known | {j: cost}
+                    for j, d in new:
+                        if j not in ends:
+                            continue
+                        cost = d + (0.01 if j in dots else 0.3)
+                        if cost <= limit + 0.31 and (j in dots or depth >= 2) and d < 1.5 and cost < known.get(j, far):
+                            if d < 0.95 or depth >= (2 if j in dots else 3) or depth == 0 and j in dots and text[j - 1] == c:
+                                known = {**known, j: cost}
                     todo.append((child, new, row, c, depth + 1, known))
 
     def find(self, value: str) -> tuple[int, float | None, int]:
