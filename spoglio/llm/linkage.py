@@ -352,42 +352,45 @@ def link_entries(entries: DataFrame, files: DataFrame, acts: DataFrame) -> DataF
 def _candidates(e: DataFrame, d: DataFrame, block: int = 256) -> DataFrame:
     """entry_id, case_doc_id of every pair that shares a key of one of the passes, inside the folder or unit that the index lists.
 
-    Everywhere: the file's name; the unit's own document; the act (or none) with the date, with the number, and with the person by its first three or last three letters, by
-    three letters of its middle and by the name less any one letter, so that a name with one edit anywhere, or two in a name of nine letters, is met. Within a unit also
-    the act, the date, the number or the person alone, whose pairs a unit's size bounds. The pairs of a crowded key are made in squares of about `block`
-    rows to the side, in different tasks."""
-    key = lambda kind, *xs: F.concat_ws("|", F.lit(kind), *[x.cast("string") for x in xs])
-    middle = lambda x, by: F.substring(x, F.greatest(F.lit(1), F.floor(F.length(x) / 2).cast("int") + by), F.lit(3))
-    variants = lambda x: F.concat(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
-
-    def person(t, x, shifts):
-        return F.concat(F.array(key("S", t, F.substring(x, 1, 3)), key("E", t, F.substring(x, -3, 3)), *[key("G", t, middle(x, by)) for by in shifts]), F.transform(variants(x), lambda v: key("V", t, v)))
-
-    titles = F.array_union(F.col("titles"), F.array(F.lit(0)))
-    over = lambda xs, f: F.flatten(F.transform(titles, lambda t: F.flatten(F.transform(xs, lambda x: f(t, x)))))
-    one = lambda kind: lambda t, x: F.array(key(kind, t, x))
-    present = lambda c, k: F.when(F.col(c).isNotNull(), F.array(k)).otherwise(F.array().cast("array<string>"))
-    inside = F.col("unit") != ""
-    alone = F.concat(F.transform("titles", lambda x: key("t", x)), F.transform("days", lambda x: key("d", x)), F.transform("numbers", lambda x: key("r", x)), F.transform("persons", lambda x: key("p", F.substring(x, 1, 3))))
-    e_keys = e.select("entry_id", "casefile_id", "unit", F.explode(F.array_distinct(F.concat(
-        over(F.col("days"), one("D")), over(F.col("numbers"), one("R")), over(F.col("persons"), lambda t, x: person(t, x, (-1, 0, 1))),
-        present("ref_name", key("N", F.col("ref_name"))), present("main_of", key("M", F.col("main_of"))), F.when(inside, alone).otherwise(F.array().cast("array<string>")),
-    ))).alias("key"))
-    t = F.col("title")
-    named = lambda c, k: F.when(F.col(c).isNotNull(), k).otherwise(F.array().cast("array<string>"))
-    always = F.concat(
-        named("day", F.array(key("D", t, F.col("day")))), named("number", F.array(key("R", t, F.col("number")))), named("person", person(t, F.col("person"), (0,))),
-        present("name", key("N", F.col("name"))), F.when(F.col("is_main"), F.array(key("M", F.col("file_unit")))).otherwise(F.array().cast("array<string>")))
-    alone = F.concat(F.when(t > 0, F.array(key("t", t))).otherwise(F.array().cast("array<string>")), present("day", key("d", F.col("day"))), present("number", key("r", F.col("number"))), present("person", key("p", F.substring("person", 1, 3))))
+    Everywhere: the file's name; the unit's own document; the act (or none) with the date, with the number, and with the person by its first or last three
+    letters (two of a name of six or fewer), or by three letters of its middle, so that a name with one edit anywhere, or two in a name of nine letters, is met. Within a
+    unit also the act, the date, the number or the person alone, whose pairs a unit's size bounds. Keys are hashes; a collision is one more pair to compare.
+    The pairs of a crowded key are made in squares of about `block` rows to the side, in different tasks."""
+    none = F.array().cast("array<long>")
+    one = lambda c, k: F.when(F.col(c).isNotNull(), F.array(k)).otherwise(none)
+
+    def person(key, t, x, shifts, around):
+        """Of a name's ends and middle; the lengths that its ends have in names `around` letters longer count as well."""
+        ends = lambda n: F.when(F.length(x) + n <= 6, 2).otherwise(3)
+        parts = [p for n in around for p in (key("S", t, F.substring(x, F.lit(1), ends(n))), key("E", t, F.substring(x, -ends(n), ends(n))))]
+        return F.array(*parts, *[key("G", t, F.substring(x, F.greatest(F.lit(1), F.floor(F.length(x) / 2).cast("int") + by), F.lit(3))) for by in shifts])
+
+    def entry_keys(unit: str, alone: bool):
+        key = lambda kind, *xs: F.xxhash64(F.lit(kind), "casefile_id", unit, *xs)
+        titles = F.array_union(F.col("titles"), F.array(F.lit(0)))
+        over = lambda xs, f: F.flatten(F.transform(titles, lambda t: F.flatten(F.transform(xs, lambda x: f(t, x)))))
+        with_act = lambda kind: lambda t, x: F.array(key(kind, t, x))
+        keys = [over(F.col("days"), with_act("D")), over(F.col("numbers"), with_act("R")), over(F.col("persons"), lambda t, x: person(key, t, x, (-1, 0, 1), (-1, 0, 1))), one("ref_name", key("N", "ref_name")), one("main_of", key("M", "main_of"))]
+        if alone:
+            keys += [F.transform("titles", lambda x: key("t", x)), F.transform("days", lambda x: key("d", x)), F.transform("numbers", lambda x: key("r", x)), F.transform("persons", lambda x: key("p", F.substring(x, 1, 3)))]
+        return F.explode(F.array_distinct(F.concat(*keys))).alias("key")
+
+    def file_keys(unit, alone: bool):
+        key = lambda kind, *xs: F.xxhash64(F.lit(kind), "casefile_id", unit, *xs)
+        keys = [one("day", key("D", "title", "day")), one("number", key("R", "title", "number")), F.when(F.col("person").isNotNull(), person(key, F.col("title"), F.col("person"), (0,), (0,))).otherwise(none), one("name", key("N", "name")), F.when(F.col("is_main"), F.array(key("M", "file_unit"))).otherwise(none)]
+        if alone:
+            keys += [F.when(F.col("title") > 0, F.array(key("t", "title"))).otherwise(none), one("day", key("d", "day")), one("number", key("r", "number")), one("person", key("p", F.substring("person", 1, 3)))]
+        return F.explode(F.array_distinct(F.concat(*keys))).alias("key")
+
     # an index in a unit meets that unit's files, an index at the root those of the whole folder
-    root = d.select("case_doc_id", "casefile_id", F.lit("").alias("unit"), F.explode(F.array_distinct(always)).alias("key"))
-    d_keys = root.unionByName(d.where("file_unit <> ''").select("case_doc_id", "casefile_id", F.col("file_unit").alias("unit"), F.explode(F.array_distinct(F.concat(always, alone))).alias("key")))
-    by = ["casefile_id", "unit", "key"]
-    sized = lambda rows, side: rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias(side))
-    crowd = sized(e_keys, "es").join(sized(d_keys, "ds"), by).where("es > 1 or ds > 1")
+    e_keys = e.where("unit <> ''").select("entry_id", entry_keys("unit", True)).unionByName(e.where("unit = ''").select("entry_id", entry_keys("unit", False)))
+    d_keys = d.where("file_unit <> ''").select("case_doc_id", file_keys("file_unit", True)).unionByName(d.select("case_doc_id", file_keys(F.lit(""), False)))
+    both = e_keys.select("key", F.lit(1).alias("n_e"), F.lit(0).alias("n_d")).unionByName(d_keys.select("key", F.lit(0).alias("n_e"), F.lit(1).alias("n_d")))
+    squares = lambda c: F.ceil(F.sum(c) / block).cast("int")
+    crowd = both.groupBy("key").agg(squares("n_e").alias("es"), squares("n_d").alias("ds")).where("es > 0 and ds > 0 and (es > 1 or ds > 1)")
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    squares = lambda rows: rows.join(crowd, by, "left").na.fill(1, ["es", "ds"])
-    left = squares(e_keys).select("entry_id", *by, part("entry_id", "es").alias("i"), spread("ds").alias("j"))
-    right = squares(d_keys).select("case_doc_id", *by, part("case_doc_id", "ds").alias("j"), spread("es").alias("i"))
-    return left.join(right, [*by, "i", "j"]).select("entry_id", "case_doc_id").distinct()
+    with_crowd = lambda rows: rows.join(crowd, "key", "left").na.fill(1, ["es", "ds"])
+    left = with_crowd(e_keys).select("entry_id", "key", part("entry_id", "es").alias("i"), spread("ds").alias("j"))
+    right = with_crowd(d_keys).select("case_doc_id", "key", part("case_doc_id", "ds").alias("j"), spread("es").alias("i"))
+    return left.join(right, ["key", "i", "j"]).select("entry_id", "case_doc_id").distinct()
