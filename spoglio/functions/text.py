@@ -46,7 +46,8 @@ def squeeze(c: Column) -> Column:
 
 
 def null_if_empty(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """Safe inside array functions, where nullif isn't."""
+    return F.when(c != "", c)
 
 
 def tokens(c: Column) -> Column:
