@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from spoglio.plans import casefile, library  # noqa: F401
+    from spoglio.plans import audit, casefile, fixtures, library  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,7 +49,7 @@ PAIR_RULES = {
     ("provvedimento_gip_gup", "high"): (("gip", "gup", "giudice", "g i p", "g u p"), ("decreto", "ordinanza", "provvedimento", "convalida", "misura", "ammissione"), ("convalida", "incidente probatorio")),
     ("provvedimento_pm", "medium"): (("pm", "p m", "pubblico ministero", "procura"), ("decreto", "provvedimento", "ordine", "richiesta"), ()),
 }
-# Sort group and priority of each category, and the groups' labels.
+# Sort group and priority of each category, and labels of groups, categories and profiles.
 SORT_GROUPS = {
     "querela_denuncia": ("querele_denunce", 10), "informativa": ("atti_pg", 20), "delega_indagini": ("atti_pg", 21), "annotazione": ("atti_pg", 22), "relazione_servizio": ("atti_pg", 23), "sit_sommarie_informazioni": ("atti_pg", 30),
     "verbale": ("verbali", 40), "certificato": ("certificati", 50), "documentazione_sanitaria": ("documentazione", 55), "documentazione_amministrativa": ("documentazione", 56), "notifica": ("notifiche", 60), "comunicazione": ("comunicazioni", 65),
@@ -59,6 +59,12 @@ GROUP_LABELS = {
     "querele_denunce": "Querele/Denunce", "atti_pg": "Atti PG", "verbali": "Verbali", "certificati": "Certificati", "documentazione": "Documentazione", "notifiche": "Notifiche", "comunicazioni": "Comunicazioni", "atti_difesa": "Atti difesa",
     "provvedimenti": "Provvedimenti", "altro": "Altro",
 }
+CATEGORY_LABELS = {
+    "certificato": "Certificato", "informativa": "Informativa", "nomina_difensore": "Nomina difensore", "verbale": "Verbale", "notifica": "Notifica/Avviso", "annotazione": "Annotazione", "sit_sommarie_informazioni": "Sommarie informazioni", "delega_indagini": "Delega indagini",
+    "comunicazione": "Comunicazione", "provvedimento_pm": "Provvedimento PM", "provvedimento_gip_gup": "Provvedimento GIP/GUP", "elezione_domicilio": "Elezione domicilio", "querela_denuncia": "Querela/Denuncia", "relazione_servizio": "Relazione di servizio",
+    "documentazione_sanitaria": "Documentazione sanitaria", "documentazione_amministrativa": "Documentazione amministrativa", "altro": "Altro",
+}
+PROFILE_LABELS = {"ministeriale_tiap": "Ministeriale TIAP", "immagini_scansioni": "Immagini/Scansioni", "pdf_sciolti": "PDF sciolti", "misto": "Misto", "sconosciuto": "Sconosciuto"}
 MARKER = "COMPLETE"
 
 
@@ -128,3 +134,17 @@ def index_confidence(path: Column) -> Column:
         .when(any_of("fascicolo", "elenco", "documenti", "atti"), "medium")
         .when(any_of("indice", "index"), "low")
     )
+
+
+def _label(c: Column, labels: dict[str, str], none: str) -> Column:
+    named = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    known = F.coalesce(F.when(c != "", c), F.lit(none))
+    return F.coalesce(F.try_element_at(named, known), known)
+
+
+def category_label(category: Column) -> Column:
+    return _label(category, CATEGORY_LABELS, "altro")
+
+
+def profile_label(profile: Column) -> Column:
+    return _label(profile, PROFILE_LABELS, "sconosciuto")

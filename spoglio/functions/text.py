@@ -147,9 +147,9 @@ def folded_name(path: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """B, KB or MB with one decimal, rounded half up."""
-    one = lambda d: F.concat((F.floor(n * 10 / d + F.lit(0.5)) / 10).cast("decimal(20,1)").cast("string"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(one(1024), F.lit(" KB"))).otherwise(F.concat(one(1024 * 1024), F.lit(" MB")))
+    """B, KB or MB with one decimal, ties to even."""
+    one = lambda d, unit: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(d)), 1))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, one(1024, "KB")).otherwise(one(1024 * 1024, "MB"))
 
 
 def day_key(c: Column) -> Column:

@@ -54,21 +54,41 @@ def unit_hashes(units: DataFrame, docs: DataFrame) -> DataFrame:
     return units.select("casefile_id", "unit_id", "main_pdf_path").join(have, ["casefile_id", "main_pdf_path"], "left").select("casefile_id", "unit_id", "main_pdf_path", "sha256")
 
 
+# What counts as an image.
+IMAGES = (".tif", ".tiff", ".jpg", ".jpeg", ".png", ".bmp", ".gif")
+
+
 def case_profile(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """The kind of each folder by its files and units."""
-    images = F.lower("extension").isin(".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp")
-    files = docs.groupBy("casefile_id").agg(F.count("*").alias("total"), F.count_if(F.lower("extension") == ".pdf").alias("n_pdf"), F.count_if(images).alias("n_images"), F.count_if(F.col("filename") == INDEX_NAME).alias("n_indexes"))
-    have = units.groupBy("casefile_id").agg(F.count("*").alias("n_units"), F.count("attachment_index_path").alias("n_indexed"))
+    """The kind of each folder by its files and units, how sure that is, and why."""
+    files = docs.groupBy("casefile_id").agg(F.count("*").alias("total"), F.count_if(F.lower("extension") == ".pdf").alias("n_pdf"), F.count_if(F.lower("extension").isin(*IMAGES)).alias("n_images"), F.count_if(F.col("filename") == INDEX_NAME).alias("n_indexes"))
+    have = units.groupBy("casefile_id").agg(F.count("*").alias("n_units"), F.count_if(F.col("attachment_index_path") != "").alias("n_indexed"))
     both = files.join(have, "casefile_id", "left").na.fill(0, ["n_units", "n_indexed"])
-    t, p, i, u, x = (F.col(c) for c in ("total", "n_pdf", "n_images", "n_units", "n_indexes"))
-    kind = (
-        F.when((u >= 2) & (x > 0) & (p >= 2), "ministeriale_tiap")
-        .when(((p > 0) & (i > 0)) | ((u > 0) & (p + i < t)), "misto")
-        .when((x == 0) & (i > 0) & (i / t >= 0.5) & (p <= i), "immagini_scansioni")
-        .when((x == 0) & (u == 0) & (p > 0) & (p / t >= 0.5), "pdf_sciolti")
-        .otherwise("sconosciuto")
+    t, p, i, u, x, k = (F.col(c) for c in ("total", "n_pdf", "n_images", "n_units", "n_indexes", "n_indexed"))
+    percent = lambda n: F.bround(n / t * 100, 0).cast("long")
+    sure = lambda n: F.when(percent(n) >= 80, "high").otherwise("medium")
+    say = lambda form, *xs: F.format_string(form, *xs)
+    of = lambda kind, confidence, reason: F.struct(F.lit(kind).alias("profile"), confidence.alias("confidence"), reason.alias("reason"))
+    found = (
+        F.when((u >= 2) & (x > 0) & (p >= 2), of("ministeriale_tiap", F.lit("high"), say(f"rilevate %d unità con %d {INDEX_NAME} e PDF principale numerico", u, k)))
+        .when(((p > 0) & (i > 0)) | ((u > 0) & (p + i < t)), of("misto", F.lit("medium"), say("%d PDF, %d immagini, %d unità TIAP su %d file totali", p, i, u, t)))
+        .when((x == 0) & (i > 0) & (i / t >= 0.5) & (p <= i), of("immagini_scansioni", sure(i), say("%d/%d file immagine (%d%%), %d PDF, nessun indice allegati", i, t, percent(i), p)))
+        .when((x == 0) & (u == 0) & (p > 0) & (p / t >= 0.5), of("pdf_sciolti", sure(p), say("%d/%d PDF (%d%%), assenza struttura TIAP e indici allegati", p, t, percent(p))))
+        .otherwise(of("sconosciuto", F.lit("low"), say("%d file, nessun pattern strutturale riconosciuto", t)))
     )
-    return both.withColumn("profile", kind)
+    return both.withColumn("found", found).select(*both.columns, "found.*")
+
+
+def running(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str, bucket: Column) -> DataFrame:
+    """df with the sum of `value` over a group's rows up to each one, in two steps: within buckets, and over the buckets' sums, so that one large group is worked by many
+    tasks. `bucket` must not fall along `order`. Rows of a null group stand for themselves."""
+    key = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group]
+    rows = df.withColumn("__g", F.concat_ws("\x00", *key)).withColumn("__b", bucket).withColumn("__v", value)
+    sums = rows.groupBy("__g", "__b").agg(F.sum("__v").alias("__s"))
+    ahead = F.sum("__s").over(Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("__g", "__b", F.coalesce(ahead, F.lit(0)).alias("__a"))
+    inner = F.sum("__v").over(Window.partitionBy("__g", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("__i", inner).join(sums, ["__g", "__b"])
+    return out.withColumn(name, (F.coalesce("__i", F.lit(0)) + F.col("__a")).cast("long")).drop("__g", "__b", "__v", "__i", "__a")
 
 
 def largest_files(docs: DataFrame, n: int = 10) -> DataFrame:
@@ -110,9 +130,10 @@ def unit_order(units: DataFrame) -> DataFrame:
     day = T.day_key(F.col("index_date"))
     u = units.select("unit_key", "casefile_id", "unit_id", "faldone_number", "pg_progressive", day.alias("day"))
     number = F.coalesce(F.col("unit_id").try_cast("long"), F.lit(999_999_999))
-    w = Window.partitionBy("casefile_id").orderBy(F.coalesce("faldone_number", F.lit(0)), "day.y", "day.m", "day.d", F.coalesce("pg_progressive", F.lit(999_999)), number, "unit_key")
+    order = [F.coalesce("faldone_number", F.lit(0)), F.col("day.y"), F.col("day.m"), F.col("day.d"), F.coalesce("pg_progressive", F.lit(999_999)), number, F.col("unit_key")]
+    u = running(u, ["casefile_id"], order, F.lit(1), "suggested_order", F.coalesce(F.col("faldone_number"), F.lit(0)).cast("long") * 10_000 + F.col("day.y"))
     kind = F.when(F.col("faldone_number").isNotNull(), "faldone+data+pg+unit_id").when(F.col("day.y") != 9999, "data+pg+unit_id").when(F.col("pg_progressive").isNotNull(), "pg+unit_id").otherwise("unit_id")
-    return u.select("unit_key", "casefile_id", F.row_number().over(w).cast("long").alias("suggested_order"), kind.alias("order_source"), F.when(F.col("day.odd") | (kind == "unit_id"), "low").otherwise("high").alias("order_confidence"), F.col("day.odd").alias("anomalous_date"))
+    return u.select("unit_key", "casefile_id", "suggested_order", kind.alias("order_source"), F.when(F.col("day.odd") | (kind == "unit_id"), "low").otherwise("high").alias("order_confidence"), F.col("day.odd").alias("anomalous_date"))
 
 
 def unit_bookmark(number: Column, title: Column, unit: Column, most: int = 100) -> Column:
@@ -132,12 +153,18 @@ def _plan_order() -> list[Column]:
     return [F.asc_nulls_last("final_order"), F.asc("item_id")]
 
 
+def _along_plan(items: DataFrame, value: Column, name: str) -> DataFrame:
+    return running(items, ["casefile_id"], _plan_order(), value, name, F.coalesce(F.floor(F.col("final_order") / 4096), F.lit(1 << 40) + F.floor(F.col("item_id") / 4096)))
+
+
 def renumber_plan(items: DataFrame) -> DataFrame:
     """New order 1..n over a folder's included items in their present order; null for excluded ones. Labels follow."""
-    w = Window.partitionBy("casefile_id").orderBy(*_plan_order()).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.when(F.col("include_in_merged_pdf"), F.sum(F.col("include_in_merged_pdf").cast("long")).over(w))
+    rows = _along_plan(items, F.coalesce(F.col("include_in_merged_pdf"), F.lit(True)).cast("long"), "__n")
+    n = F.when(F.coalesce(F.col("include_in_merged_pdf"), F.lit(True)), F.col("__n"))
     title = plan_bookmark(F.col("act_title"), F.col("unit_id"))
-    return items.select("item_id", "casefile_id", n.alias("new_order"), title.alias("new_title")).withColumn("new_label", F.when(F.col("new_order").isNotNull(), F.concat_ws(" - ", F.when(F.length(F.col("new_order").cast("string")) >= 3, F.col("new_order").cast("string")).otherwise(F.lpad(F.col("new_order").cast("string"), 3, "0")), "new_title")))
+    out = rows.select("item_id", "casefile_id", n.alias("new_order"), title.alias("new_title"))
+    number = F.col("new_order").cast("string")
+    return out.withColumn("new_label", F.when(F.col("new_order").isNotNull(), F.concat_ws(" - ", F.when(F.length(number) >= 3, number).otherwise(F.lpad(number, 3, "0")), "new_title")))
 
 
 def set_included(items: DataFrame, unit_ids: list[str], included: bool, reason: str | None = None) -> DataFrame:
@@ -153,18 +180,15 @@ def set_title(items: DataFrame, unit_id: str, title: str) -> DataFrame:
 def move_item(items: DataFrame, casefile_id: str, source: int, target: int) -> DataFrame:
     """One item of a folder moved from a position to another (from 1, by the present order); the items between move up or down.
     Result: item_id, casefile_id, position."""
-    w = Window.partitionBy("casefile_id").orderBy(*_plan_order())
-    pos = F.row_number().over(w).cast("long")
     p = F.col("position")
     step = F.when(p == source, F.lit(target)).when((p > source) & (p <= target), p - 1).when((p < source) & (p >= target), p + 1).otherwise(p)
-    return items.select("item_id", "casefile_id", pos.alias("position")).withColumn("position", F.when(F.col("casefile_id") == casefile_id, step).otherwise(p).cast("long"))
+    return _along_plan(items, F.lit(1), "position").select("item_id", "casefile_id", "position").withColumn("position", F.when(F.col("casefile_id") == casefile_id, step).otherwise(p).cast("long"))
 
 
 def page_offsets(items: DataFrame) -> DataFrame:
     """Start and end page (from 0) of each included item with known pages in its folder's merged file."""
-    w = Window.partitionBy("casefile_id").orderBy(*_plan_order()).rowsBetween(Window.unboundedPreceding, 0)
     pages = items.where("include_in_merged_pdf and total_pages > 0").withColumn("total_pages", F.col("total_pages").cast("long"))
-    end = F.sum("total_pages").over(w)
+    pages, end = _along_plan(pages, F.col("total_pages"), "__end"), F.col("__end")
     return pages.select("item_id", "casefile_id", (end - F.col("total_pages")).alias("start_page"), (end - 1).alias("end_page"))
 
 
@@ -179,34 +203,6 @@ def plan_totals(items: DataFrame) -> DataFrame:
     )
 
 
-def validate_plan(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """The findings of each folder's plan, one row each: casefile_id, severity, code, item_id (null for the whole plan), subject."""
-    inc = items.where("include_in_merged_pdf")
-    row = lambda df, severity, code, item, subject: df.select("casefile_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), item.cast("long").alias("item_id"), subject.cast("string").alias("subject"))
-    one, none = F.col("item_id"), F.lit(None)
-    have = docs.select("casefile_id", F.col("relative_path").alias("source_pdf"), "size_bytes").dropDuplicates(["casefile_id", "source_pdf"])
-    source = inc.join(have, ["casefile_id", "source_pdf"], "left")
-    orders = inc.where("final_order is not null").groupBy("casefile_id", "final_order").count().where("count > 1")
-    sources = inc.where("source_pdf is not null").groupBy("casefile_id", "source_pdf").count().where("count > 1")
-    seq = inc.where("final_order is not null").groupBy("casefile_id").agg(F.count("*").alias("n"), F.countDistinct("final_order").alias("k"), F.min("final_order").alias("lo"), F.max("final_order").alias("hi"))
-    empty = items.groupBy("casefile_id").agg(F.max(F.col("include_in_merged_pdf").cast("int")).alias("any")).where("coalesce(any, 0) = 0")
-    parts = [
-        row(source.where("size_bytes is null"), "error", "missing_source", one, F.col("source_pdf")),
-        row(source.where("size_bytes = 0"), "warning", "empty_source", one, F.col("source_pdf")),
-        row(inc.where("final_order is null"), "warning", "missing_order", one, F.col("unit_id")),
-        row(inc.where("total_pages is not null and total_pages <= 0"), "warning", "no_pages", one, F.col("total_pages")),
-        row(inc.where("coalesce(trim(bookmark_title), '') = ''"), "warning", "blank_title", one, F.col("unit_id")),
-        row(orders, "error", "duplicate_order", none, F.col("final_order")),
-        row(sources, "warning", "duplicate_source", none, F.col("source_pdf")),
-        row(seq.where("n = k and not (lo = 1 and hi = n)"), "warning", "gap_in_order", none, F.col("n")),
-        row(empty, "error", "nothing_included", none, F.lit(None)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def unsafe_paths(items: DataFrame) -> DataFrame:
     """Plan items whose source leaves the folder: absolute, a drive or URL, or through `..`; as rows, not as an exception."""
     p = T.slashes(F.col("source_pdf"))

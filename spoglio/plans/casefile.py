@@ -81,14 +81,13 @@ def unit_main_hash(spark, d):
     return C.unit_hashes(read(spark, d, "casefile_units"), read(spark, d, "casefile_documents"))
 
 
-IMAGES = "('.jpg', '.jpeg', '.png', '.tif', '.tiff', '.bmp', '.webp')"
-
-
-@query("case_profile", f"""SELECT f.*, coalesce(u.n_units, 0) AS n_units, coalesce(u.n_indexed, 0) AS n_indexed, CASE WHEN coalesce(n_units, 0) >= 2 AND n_indexes > 0 AND n_pdf >= 2 THEN 'ministeriale_tiap'
-  WHEN (n_pdf > 0 AND n_images > 0) OR (coalesce(n_units, 0) > 0 AND n_pdf + n_images < total) THEN 'misto' WHEN n_indexes = 0 AND n_images > 0 AND n_images / total >= 0.5 AND n_pdf <= n_images THEN 'immagini_scansioni'
-  WHEN n_indexes = 0 AND coalesce(n_units, 0) = 0 AND n_pdf > 0 AND n_pdf / total >= 0.5 THEN 'pdf_sciolti' ELSE 'sconosciuto' END AS profile
-  FROM (SELECT casefile_id, count(*) AS total, count(*) FILTER (lower(extension) = '.pdf') AS n_pdf, count(*) FILTER (lower(extension) IN {IMAGES}) AS n_images, count(*) FILTER (filename = 'ListaAllegati.html') AS n_indexes FROM {DOCS} GROUP BY ALL) f
-  LEFT JOIN (SELECT casefile_id, count(*) AS n_units, count(attachment_index_path) AS n_indexed FROM {UNITS} GROUP BY ALL) u USING (casefile_id)""")
+@query("case_profile", f"""WITH f AS (SELECT casefile_id, count(*) AS total, count(*) FILTER (lower(extension) = '.pdf') AS n_pdf, count(*) FILTER (lower(extension) IN ('.tif', '.tiff', '.jpg', '.jpeg', '.png', '.bmp', '.gif')) AS n_images, count(*) FILTER (filename = 'ListaAllegati.html') AS n_indexes FROM {DOCS} GROUP BY ALL),
+  u AS (SELECT casefile_id, count(*) AS n_units, count(*) FILTER (attachment_index_path <> '') AS n_indexed FROM {UNITS} GROUP BY ALL), b AS (SELECT f.*, coalesce(u.n_units, 0) AS n_units, coalesce(u.n_indexed, 0) AS n_indexed FROM f LEFT JOIN u USING (casefile_id)),
+  k AS (SELECT *, CASE WHEN n_units >= 2 AND n_indexes > 0 AND n_pdf >= 2 THEN 'ministeriale_tiap' WHEN (n_pdf > 0 AND n_images > 0) OR (n_units > 0 AND n_pdf + n_images < total) THEN 'misto' WHEN n_indexes = 0 AND n_images > 0 AND n_images / total >= 0.5 AND n_pdf <= n_images THEN 'immagini_scansioni'
+    WHEN n_indexes = 0 AND n_units = 0 AND n_pdf > 0 AND n_pdf / total >= 0.5 THEN 'pdf_sciolti' ELSE 'sconosciuto' END AS profile, CAST(round_even(n_images / total * 100, 0) AS BIGINT) AS pi, CAST(round_even(n_pdf / total * 100, 0) AS BIGINT) AS pp FROM b)
+  SELECT casefile_id, total, n_pdf, n_images, n_indexes, n_units, n_indexed, profile, CASE profile WHEN 'ministeriale_tiap' THEN 'high' WHEN 'misto' THEN 'medium' WHEN 'immagini_scansioni' THEN (CASE WHEN pi >= 80 THEN 'high' ELSE 'medium' END) WHEN 'pdf_sciolti' THEN (CASE WHEN pp >= 80 THEN 'high' ELSE 'medium' END) ELSE 'low' END AS confidence,
+  CASE profile WHEN 'ministeriale_tiap' THEN 'rilevate ' || n_units || ' unità con ' || n_indexed || ' ListaAllegati.html e PDF principale numerico' WHEN 'misto' THEN n_pdf || ' PDF, ' || n_images || ' immagini, ' || n_units || ' unità TIAP su ' || total || ' file totali'
+    WHEN 'immagini_scansioni' THEN n_images || '/' || total || ' file immagine (' || pi || '%), ' || n_pdf || ' PDF, nessun indice allegati' WHEN 'pdf_sciolti' THEN n_pdf || '/' || total || ' PDF (' || pp || '%), assenza struttura TIAP e indici allegati' ELSE total || ' file, nessun pattern strutturale riconosciuto' END AS reason FROM k""")
 def case_profile(spark, d):
     return C.case_profile(read(spark, d, "casefile_documents"), read(spark, d, "casefile_units"))
 
@@ -107,13 +106,13 @@ def largest_files(spark, d):
 
 @query("path_order", f"""SELECT case_doc_id, row_number() OVER (PARTITION BY casefile_id ORDER BY lower(relative_path), relative_path) AS position FROM {DOCS}""")
 def path_order(spark, d):
-    from pyspark.sql import Window
+    docs = read(spark, d, "casefile_documents").select("case_doc_id", "casefile_id", "relative_path")
+    # the first letters never fall along the order of paths
+    first = F.conv(F.hex(F.substring(F.rpad(F.encode(F.lower("relative_path"), "UTF-8"), 6, F.lit(b"\x00")), 1, 6)), 16, 10).cast("long")
+    return C.running(docs, ["casefile_id"], [F.lower("relative_path"), F.col("relative_path")], F.lit(1), "position", first).select("case_doc_id", "position")
 
-    w = Window.partitionBy("casefile_id").orderBy(F.lower("relative_path"), "relative_path")
-    return read(spark, d, "casefile_documents").select("case_doc_id", F.row_number().over(w).cast("long").alias("position"))
 
-
-@query("size_text", f"""SELECT case_doc_id, CASE WHEN size_bytes < 1024 THEN CAST(size_bytes AS VARCHAR) || ' B' WHEN size_bytes < 1048576 THEN CAST(CAST(floor(size_bytes * 10 / 1024.0 + 0.5) / 10 AS DECIMAL(20,1)) AS VARCHAR) || ' KB' ELSE CAST(CAST(floor(size_bytes * 10 / 1048576.0 + 0.5) / 10 AS DECIMAL(20,1)) AS VARCHAR) || ' MB' END AS size FROM {DOCS}""")
+@query("size_text", f"""SELECT case_doc_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', round_even(size_bytes / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round_even(size_bytes / 1048576.0::DOUBLE, 1)) END AS size FROM {DOCS}""")
 def size_text(spark, d):
     return read(spark, d, "casefile_documents").select("case_doc_id", T.human_size(F.col("size_bytes")).alias("size"))
 
@@ -245,18 +244,6 @@ def plan_totals(spark, d):
     return C.plan_totals(read(spark, d, "merge_plan_items"))
 
 
-@query("plan_findings", f"""WITH items AS {ITEMS}, inc AS (SELECT * FROM items WHERE include_in_merged_pdf), s AS (SELECT i.*, d.size_bytes FROM inc i LEFT JOIN (SELECT DISTINCT casefile_id, relative_path, size_bytes FROM {DOCS}) d ON d.casefile_id = i.casefile_id AND d.relative_path = i.source_pdf)
-  SELECT casefile_id, 'error' AS severity, 'missing_source' AS code, item_id, source_pdf AS subject FROM s WHERE size_bytes IS NULL UNION ALL SELECT casefile_id, 'warning', 'empty_source', item_id, source_pdf FROM s WHERE size_bytes = 0
-  UNION ALL SELECT casefile_id, 'warning', 'missing_order', item_id, unit_id FROM inc WHERE final_order IS NULL UNION ALL SELECT casefile_id, 'warning', 'no_pages', item_id, CAST(total_pages AS VARCHAR) FROM inc WHERE total_pages <= 0
-  UNION ALL SELECT casefile_id, 'warning', 'blank_title', item_id, unit_id FROM inc WHERE coalesce(trim(bookmark_title), '') = ''
-  UNION ALL SELECT casefile_id, 'error', 'duplicate_order', NULL, CAST(final_order AS VARCHAR) FROM inc WHERE final_order IS NOT NULL GROUP BY casefile_id, final_order HAVING count(*) > 1
-  UNION ALL SELECT casefile_id, 'warning', 'duplicate_source', NULL, source_pdf FROM inc WHERE source_pdf IS NOT NULL GROUP BY casefile_id, source_pdf HAVING count(*) > 1
-  UNION ALL SELECT casefile_id, 'warning', 'gap_in_order', NULL, CAST(count(*) AS VARCHAR) FROM inc WHERE final_order IS NOT NULL GROUP BY casefile_id HAVING count(*) = count(DISTINCT final_order) AND NOT (min(final_order) = 1 AND max(final_order) = count(*))
-  UNION ALL SELECT casefile_id, 'error', 'nothing_included', NULL, NULL FROM items GROUP BY casefile_id HAVING coalesce(max(CASE WHEN include_in_merged_pdf THEN 1 ELSE 0 END), 0) = 0""")
-def plan_findings(spark, d):
-    return C.validate_plan(read(spark, d, "merge_plan_items"), read(spark, d, "casefile_documents"))
-
-
 @query("plan_warnings", f"""SELECT item_id, casefile_id, n, w.code AS code, w.message AS message, CASE WHEN regexp_matches(w.path, '^(/|[A-Za-z][A-Za-z0-9+.-]*:)') OR contains(w.path, '..') THEN regexp_extract(w.path, '[^/]*$') ELSE nullif(regexp_replace(w.path, '^\\./', ''), '') END AS path FROM
   (SELECT item_id, casefile_id, unnest(range(1, len(warnings) + 1)) AS n, unnest(warnings) AS w FROM {ITEMS})""")
 def plan_warnings(spark, d):

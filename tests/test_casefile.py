@@ -65,12 +65,41 @@ def test_plan(spark, plan):
 
 
 def test_validation(spark, plan):
+    from spoglio.operators import audit as A
+
+    plan = plan.withColumn("bookmark_label", F.lit(None).cast("string")) if "bookmark_label" not in plan.columns else plan
     d = docs(spark, [("a.pdf", "h"), ("b.pdf", "i")]).withColumn("size_bytes", F.when(F.col("relative_path") == "b.pdf", 0).otherwise(5).cast("long"))
     twice = plan.withColumn("final_order", F.when(F.col("casefile_id") == "c", F.lit(1)).otherwise(F.col("final_order")))
-    codes = {(r.casefile_id, r.severity, r.code) for r in C.validate_plan(twice, d).collect()}
-    assert {("c", "error", "duplicate_order"), ("d", "error", "missing_source"), ("c", "warning", "empty_source"), ("c", "warning", "blank_title")} <= codes
-    excluded = plan.withColumn("include_in_merged_pdf", F.lit(False))
-    assert {r.code for r in C.validate_plan(excluded, d).collect()} == {"nothing_included"}
+    found = {(r.casefile_id, r.severity, r.message.split(": ")[0].split(" ", 2)[-1]) for r in A.validate_plan(twice, d).collect()}
+    assert ("c", "error", "tra item inclusi") in found and any(r[:2] == ("d", "error") for r in found)
+    excluded = A.validate_plan(plan.withColumn("include_in_merged_pdf", F.lit(False)), d)
+    assert {r.message for r in excluded.where("severity = 'error'").collect()} == {"Il merge plan non contiene PDF inclusi: Nessun item incluso nel PDF unico."}
+    assert A.validate_plan(plan.limit(0), d).count() == 0 and A.estimate_totals(A.estimate_items(plan.limit(0), d)).count() == 0
+
+
+def test_running_sums_of_a_hot_group(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(i, "hot" if i % 3 else f"c{i % 7}" if i % 2 else None, rng.choice([None, *range(40)]), rng.randrange(5)) for i in range(600)]
+    df = spark.createDataFrame(data, "item_id long, casefile_id string, final_order int, v int")
+    got = {r.item_id: r.n for r in C.running(df, ["casefile_id"], [F.asc_nulls_last("final_order"), F.asc("item_id")], F.col("v"), "n", F.coalesce(F.floor(F.col("final_order") / 4), F.lit(1000) + F.floor(F.col("item_id") / 16))).collect()}
+    want, total = {}, {}
+    for i, c, o, v in sorted(data, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        total[c] = total.get(c, 0) + v
+        want[i] = total[c]
+    assert got == want
+
+
+def test_indexes_in_markdown(spark):
+    from spoglio.operators import audit as A
+    from spoglio.operators import markdown as M
+
+    texts = spark.createDataFrame([(1, "<!-- Blocco 1: pagine originali 3-4 -->\n# Verbale a|b\n# Querela"), (2, "niente")], "k int, markdown string")
+    acts = {r.k: r.markdown for r in A.act_index(texts, M.act_outline(texts, "k"), "k", F.concat(F.col("k").cast("string"), F.lit(".md"))).collect()}
+    assert acts[1].startswith("# Indice atti sperimentale\n\n- Markdown sorgente: `1.md`\n") and acts[1].endswith("|---|---:|---:|\n| Verbale ab | 3 | 1 |\n| Querela | 3 | 1 |\n") and acts[2].endswith("|---|---:|---:|\n")
+    marks = {r.k: r.markdown for r in A.bookmark_index(texts, M.bookmarks(texts.withColumn("n", F.lit(20)), "k", "n"), "k", F.lit("x.md")).collect()}
+    assert "`markdown_headings`\n- Fallback tecnico: no" in marks[1] and marks[2].endswith("| Pagine 1-15 | 1 |\n| Pagine 16-20 | 16 |\n") and "tecnico: sì" in marks[2]
 
 
 def test_profiles(spark):
