@@ -32,16 +32,14 @@ class Boosted:
         tree.append((-1, 0.0, -1, -1, 0.0))
         best = (1e-6, -1, 0)
         if level < self.depth and len(rows) >= 2 * self.least:
-            for j, c in enumerate(cuts):
-                if not len(c):
-                    continue
-                b = binned[rows, j]
-                sums = [np.bincount(b, weights=w, minlength=len(c) + 1).cumsum()[:-1] for w in (g[rows], h[rows], np.ones(len(rows)))]
-                ok = (sums[2] >= self.least) & (len(rows) - sums[2] >= self.least)
-                gain = sums[0] ** 2 / (sums[1] + self.penalty) + (total_g - sums[0]) ** 2 / (total_h - sums[1] + self.penalty) - total_g**2 / (total_h + self.penalty)
-                gain = np.where(ok, gain, -1)
-                if len(gain) and gain.max() > best[0]:
-                    best = (gain.max(), j, int(gain.argmax()))
+            width = self.bins + 1
+            b = (binned[rows] + np.arange(binned.shape[1]) * width).ravel()
+            sums = [np.bincount(b, weights=None if w is None else np.repeat(w[rows], binned.shape[1]), minlength=binned.shape[1] * width).reshape(-1, width).cumsum(1)[:, :-1] for w in (g, h, None)]
+            ok = (sums[2] >= self.least) & (len(rows) - sums[2] >= self.least) & (np.arange(width - 1) < np.array([len(c) for c in cuts])[:, None])
+            gain = np.where(ok, sums[0] ** 2 / (sums[1] + self.penalty) + (total_g - sums[0]) ** 2 / (total_h - sums[1] + self.penalty) - total_g**2 / (total_h + self.penalty), -1)
+            j, k = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[j, k] > best[0]:
+                best = (float(gain[j, k]), int(j), int(k))
         if best[1] < 0:
             value = self.rate * total_g / (total_h + self.penalty)
             score[rows] += value

@@ -6,8 +6,8 @@ errors; a word is wrong if either count says so. Words in at least `known_share`
 From it the models are trained, without any labels: known words are cut and misread at random, and lines whose form
 leaves no doubt teach what furniture looks like. The second pass classifies pairs of lines (furniture, joins)
 and lists the suspects, words much rarer than the vocabulary. The suspects' correction candidates come from an
-inverted join on character q-grams; gradient-boosted trees rank the candidates by form and by the neighbouring
-words and decide whether any replaces the suspect.
+inverted join on the rarest character q-grams of both sides; gradient-boosted trees rank the candidates by form and by the neighbouring
+words and decide whether any replaces the suspect, or closes the gap inside it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ def grams(word: str) -> list[str]:
     return [w[i : i + 2] for i in range(len(w) - 1)]
 
 
+@lru_cache(maxsize=200_000)
 def distance(a: str, b: str) -> tuple[float, int]:
     """(weighted, plain) least cost of turning a into b, where confused characters cost less than others."""
     rows = [[(0.0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -52,7 +54,7 @@ def distance(a: str, b: str) -> tuple[float, int]:
                 continue
             options = []
             if i:
-                options.append((rows[i - 1][j][0] + 1, rows[i - 1][j][1] + 1))
+                options.append((rows[i - 1][j][0] + (0.3 if a[i - 1] == " " else 1), rows[i - 1][j][1] + 1))
             if j:
                 options.append((rows[i][j - 1][0] + 1, rows[i][j - 1][1] + 1))
             if i and j:
@@ -69,22 +71,22 @@ def distance(a: str, b: str) -> tuple[float, int]:
 class Language:
     """Vocabulary and neighbouring pairs with their shares of all texts, or of those that have lines of their own."""
 
-    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float]) -> None:
+    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float], frequent: float = 0.05) -> None:
         self.words, self.pairs = words, pairs
-        # a gap's joined word is in twenty times as many texts as one of its parts, so no part of both is in one of twenty
-        self.frequent = frozenset(w for w, share in words.items() if share >= 0.05 and w.isalpha())
+        # words in so many texts are neither suspects nor both parts of a gapped word
+        self.frequent = frozenset(w for w, share in words.items() if share >= frequent and w.isalpha())
 
     def share(self, word: str) -> float:
         return math.log10(self.words.get(word, 0.0) + 1e-6)
 
-    def features(self, suspect: str, share: float, candidate: str, before: str, after: str, wide: bool = False) -> list[float]:
+    def features(self, suspect: str, share: float, candidate: str, before: str, after: str) -> list[float]:
         """Of replacing a suspect word by a candidate between two words."""
-        d, plain = distance(suspect, candidate) if not wide else (0.3, 1)
+        d, plain = distance(suspect, candidate)
         common = len(set(grams(suspect)) & set(grams(candidate)))
         left, right = self.pairs.get((before, candidate), 0.0), self.pairs.get((candidate, after), 0.0)
         return [
             d, plain, d / max(len(candidate), 1), len(candidate), len(suspect) - len(candidate), common / (len(candidate) + 1), self.share(candidate), self.share(candidate) - math.log10(share + 1e-6),
-            math.log10(left + 1e-6) - self.share(candidate), math.log10(right + 1e-6) - self.share(candidate), math.log10(max(left, right) + 1e-6), float(any(c.isdigit() for c in suspect)),
+            math.log10(left + 1e-6) - self.share(candidate), math.log10(right + 1e-6) - self.share(candidate), math.log10(max(left, right) + 1e-6), float(any(c.isdigit() for c in suspect)), float(" " in suspect),
         ]
 
 
@@ -103,27 +105,39 @@ def misread(word: str, rng: np.random.Generator) -> str:
 
 
 class Index:
-    """q-gram index of the vocabulary in memory, for training only; the texts' suspects are joined in Spark."""
+    """q-gram index of the vocabulary in memory, for training; the texts' suspects are joined in Spark."""
 
     def __init__(self, words: list[str]) -> None:
-        self.words, self.where = words, {}
+        self.words, where = words, {}
+        self.length = np.array([len(w) for w in words])
         for n, w in enumerate(words):
             for g in set(grams(w)):
-                self.where.setdefault(g, []).append(n)
+                where.setdefault(g, []).append(n)
+        self.where = {g: np.array(ns) for g, ns in where.items()}
 
     def near(self, word: str) -> list[str]:
-        hits = Counter(n for g in set(grams(word)) for n in self.where.get(g, ()))
-        return [self.words[n] for n, k in hits.items() if enough(word, self.words[n], k)]
+        hits = [self.where[g] for g in set(grams(word)) if g in self.where]
+        if not hits:
+            return []
+        common, longest = np.bincount(np.concatenate(hits), minlength=len(self.words)), np.maximum(self.length, len(word))
+        good = (common >= 1) & (np.abs(self.length - len(word)) <= 2) & (common >= longest + 1 - np.where(longest > 5, 4, 3))
+        return [self.words[n] for n in np.flatnonzero(good)]
 
 
-def enough(a: str, b: str, common: int) -> bool:
-    """Whether so many common q-grams allow two confusions or fewer; short words must be close."""
-    return abs(len(a) - len(b)) <= 2 and common >= max(len(a), len(b)) + 1 - (4 if max(len(a), len(b)) > 5 else 3) and common >= 1
+def least_common(length: int) -> int:
+    """How many q-grams a word of that length shares at least with any candidate: two confusions or fewer; short words must be close."""
+    return length + 1 - (4 if length > 5 else 3)
+
+
+def prefix(word: str, rank: dict[str, int]) -> list[str]:
+    """The rarest q-grams of a word, so many that a candidate which shares enough of all shares one of these (and the other way round)."""
+    own = sorted(set(grams(word)), key=lambda g: (rank.get(g, -1), g))
+    return own[: max(1, len(own) - max(1, least_common(len(word))) + 1)]
 
 
 def train_ranker(lang: Language, sample: int = 4000, seed: int = 3) -> Boosted:
-    """On at most `sample` known words in a known neighbourhood, misread at random, and as many known words left out of
-    the vocabulary, which nothing must replace."""
+    """On at most `sample` known words in a known neighbourhood, misread at random or with a stray gap inside, as many known words left out of
+    the vocabulary, which nothing must replace, and neighbouring known words that would make a third."""
     rng = np.random.default_rng(seed)
     pairs = sorted(lang.pairs, key=lambda p: (-lang.pairs[p], p))[: 20 * sample]
     known = [w for w in sorted(lang.words) if len(w) > 2 and w.isalpha()]
@@ -150,7 +164,20 @@ def train_ranker(lang: Language, sample: int = 4000, seed: int = 3) -> Boosted:
                     continue
                 x.append(lang.features(suspect, share, c, before, nxt))
                 y.append(c == right)
-    return Boosted().fit(np.array(x), np.array(y)) if x and any(y) and not all(y) else Boosted(rounds=0).fit(np.zeros((1, 12)), np.zeros(1))
+        # gaps in words of this neighbourhood, and in any word between any others
+        for w, left, right in ((word, before, nxt), (known[rng.integers(len(known))], pairs[rng.integers(len(pairs))][0], pairs[rng.integers(len(pairs))][1])):
+            if len(w) > 4:
+                i = int(rng.integers(1, len(w)))
+                x.append(lang.features(f"{w[:i]} {w[i:]}", 10.0 ** rng.uniform(-5, math.log10(lang.words[w]) - 0.7), w, left, right))
+                y.append(True)
+    # parts far rarer than the whole are a gap that many texts repeat, not two words
+    whole = [(a, b) for a, b in sorted(lang.pairs) if len(a + b) > 4 and 0 < lang.words.get(a + b, 0.0) < 20 * min(lang.words.get(a, 0.0), lang.words.get(b, 0.0))]
+    for a, b in whole[: sample // 4]:
+        for _ in range(1 + sample // (8 * len(whole))):
+            before, nxt = pairs[rng.integers(len(pairs))][0], pairs[rng.integers(len(pairs))][1]
+            x.append(lang.features(f"{a} {b}", min(lang.words.get(a, 0.0), lang.words.get(b, 0.0)), a + b, before, nxt))
+            y.append(False)
+    return Boosted().fit(np.array(x), np.array(y)) if x and any(y) and not all(y) else Boosted(rounds=0).fit(np.zeros((1, 13)), np.zeros(1))
 
 
 def join_features(lang: Language, left: str, right: str) -> list[float]:
@@ -337,7 +364,7 @@ def scan_text(lines: list[str], furniture: set[int], lang: Language, keeps_hyphe
                 out.append((i + 1, "suspect", word, word, before, after, a, z))
             if plain and n + 1 < len(at) and at[n + 1][0] == z + 1 and lines[i][z] == " " and not (word in frequent and after in frequent):
                 whole = word + after
-                gap = any(l.words.get(whole, 0.0) > max(suspect_share, 20 * min(l.words.get(word, 0.0), l.words.get(after, 0.0))) for l in langs)
+                gap = any(l.words.get(whole, 0.0) > min(l.words.get(word, 0.0), l.words.get(after, 0.0)) for l in langs)
                 if gap and after.isalpha() and len(whole) > 4 and lines[i][z + 1].islower() == lines[i][z - 1].islower():
                     out.append((i + 1, "gap", whole, f"{word} {after}", before, ws[n + 2] if n + 2 < len(ws) else following, a, at[n + 1][1]))
     return out
@@ -395,6 +422,7 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
         return Language(
             {r.word: r.n / of for r in often.itertuples() if " " not in r.word},
             {tuple(r.word.split(" ")): r.n / of for r in often.itertuples() if " " in r.word},
+            max(0.05, suspect_share),
         )
 
     lang, single = language("n", n), language("own", n_own)
@@ -418,20 +446,32 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
             yield pd.DataFrame(rows, columns=["table_name", "job_id", "line_no", "kind", "word", "seen", "before", "after", "a", "z"])
 
     found = materialize(texts.mapInPandas(look, FOUND), "noise-found")
-    # words that may be wrong: suspects, and split words that are not known as they are joined
-    vocabulary = spark.createDataFrame(pd.DataFrame([(w,) for w in sorted({*lang.words, *single.words}) if len(w) > 1 and not any(c.isdigit() for c in w)], columns=["candidate"]), "candidate string")
-    doubtful = found.where("kind in ('suspect', 'split')").select("word").distinct()
+    # words that may be wrong: suspects, gapped words, and split words that are not known as they are joined
+    listed = sorted(w for w in {*lang.words, *single.words} if len(w) > 1 and not any(c.isdigit() for c in w))
+    seen_in = Counter(g for w in listed for g in set(grams(w)))
+    rank = {g: k for k, (g, _) in enumerate(sorted(seen_in.items(), key=lambda x: (x[1], x[0])))}
+    doubtful = found.where("kind in ('suspect', 'split', 'gap') and length(word) > 1").select("word").distinct()
+
+    def posted(name: str):
+        def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                own = [prefix(w, rank) for w in batch[name]]
+                yield pd.DataFrame({name: batch[name].repeat([len(o) for o in own]).to_numpy(), "gram": [g for o in own for g in o]})
+
+        return f
+
+    # an inverted join on the rarest q-grams of both sides, then the count of all that are common
+    vocabulary = spark.createDataFrame(pd.DataFrame(listed, columns=["candidate"]), "candidate string")
     q = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, 2)))
-    left = doubtful.where("length(word) between 2 and 40").select("word", F.explode(q(F.col("word"))).alias("gram"), F.length("word").alias("long")).withColumn("size", F.explode(F.sequence(F.col("long") - 2, F.col("long") + 2)))
-    right = vocabulary.select("candidate", F.explode(q(F.col("candidate"))).alias("gram"), F.length("candidate").alias("size"))
+    met = doubtful.mapInPandas(posted("word"), "word string, gram string").join(vocabulary.mapInPandas(posted("candidate"), "candidate string, gram string"), "gram")
     longest = F.greatest(F.length("word"), F.length("candidate"))
-    near = left.join(right, ["gram", "size"]).groupBy("word", "candidate").agg(F.count("*").alias("common"))
-    near = near.where((F.col("common") >= longest + 1 - F.when(longest > 5, 4).otherwise(3)) & (F.col("word") != F.col("candidate")))
+    near = met.where(F.abs(F.length("word") - F.length("candidate")) <= 2).select("word", "candidate").distinct()
+    near = near.where(F.size(F.array_intersect(q(F.col("word")), q(F.col("candidate")))) >= longest + 1 - F.when(longest > 5, 4).otherwise(3))
     near = near.groupBy("word").agg(F.collect_list("candidate").alias("candidates"))  # words within two confusions of one word
     shares = counted.where("not contains(word, ' ')").select("word", (F.col("n") / n).alias("share"), (F.col("own") / max(n_own, 1)).alias("single_share"))
-    open_ = found.where("kind in ('suspect', 'split')").join(near, "word", "left").join(shares, "word", "left")
+    open_ = found.where("kind in ('suspect', 'split', 'gap')").join(near, "word", "left").join(shares, "word", "left")
 
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lang, single, _, _, rankers = shared.value
         for batch in batches:
             best: dict[int, tuple[float, str]] = {}
@@ -439,9 +479,16 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
                 x, at = [], []
                 for k, (r, own) in enumerate(zip(batch.itertuples(), shares)):
                     own = 0.0 if own is None or own != own else own
+                    if r.kind == "gap":
+                        # the rarer part vouches for a gapped word, or against it
+                        own = min(words.words.get(part, 0.0) for part in r.seen.split(" "))
+                    elif r.kind == "split" and r.word in words.words:
+                        continue
                     for c in r.candidates if r.candidates is not None else ():
-                        if words.words.get(c, 0.0) >= max(20 * (own if not any(ch.isdigit() for ch in r.word) else 0.0), 1e-12) and (r.kind != "split" or r.word not in words.words):
-                            x.append(words.features(r.word, max(own, 1e-5), c, r.before, r.after))
+                        if c == r.word and r.kind != "gap" or r.kind == "gap" and c != r.word:
+                            continue
+                        if words.words.get(c, 0.0) >= max((20 if r.kind != "gap" else 1) * (own if not any(ch.isdigit() for ch in r.word) else 0.0), 1e-12):
+                            x.append(words.features(r.seen if r.kind == "gap" else r.word, max(own, 1e-5), c, r.before, r.after))
                             at.append((k, c))
                 for (k, c), v in zip(at, ranker.predict(np.array(x)) if x else []):
                     best[k] = max(best.get(k, (0.0, "")), (float(v), c))
@@ -449,13 +496,13 @@ def find_noise(texts: DataFrame, known_share: float = 0.003, suspect_share: floa
             for k, r in enumerate(batch.itertuples()):
                 v, c = best.get(k, (0.0, ""))
                 if v >= 0.5:
-                    rows.append((r.table_name, r.job_id, r.line_no, "misread" if r.kind == "suspect" else "split", c, r.seen, r.before, r.after, r.a, r.z))
+                    rows.append((r.table_name, r.job_id, r.line_no, "misread" if r.kind == "suspect" else r.kind, c, r.seen, r.before, r.after, r.a, r.z))
                 elif r.kind == "split":
                     rows.append((r.table_name, r.job_id, r.line_no, "split", r.word, r.seen, r.before, r.after, r.a, r.z))
             yield pd.DataFrame(rows, columns=["table_name", "job_id", "line_no", "kind", "word", "seen", "before", "after", "a", "z"])
 
-    ranked = open_.mapInPandas(rank, FOUND)
-    gaps = found.where("kind = 'gap'").withColumn("kind", F.lit("misread"))
+    ranked = materialize(open_.mapInPandas(choose, FOUND), "noise-ranked")
+    gaps = ranked.where("kind = 'gap'").withColumn("kind", F.lit("misread"))
     furniture = found.where("kind = 'furniture'")
     # a part of a gapped word is no case of its own
     parts = gaps.select("table_name", "job_id", "line_no", F.col("a").alias("from"), F.col("z").alias("to"))

@@ -97,3 +97,23 @@ def test_copies_dont_vouch_for_their_errors(spark):
     found = O.find_noise(spark.createDataFrame(rows, "table_name string, job_id long, markdown string")).where("job_id >= 1000 and kind = 'misread'").collect()
     for seen in ("reglstro", "conseqnato", "magazzlno"):
         assert sum(r.seen == seen for r in found) == 60, seen
+
+
+def test_candidates_by_rarest_grams_lose_none():
+    rng = np.random.default_rng(8)
+    known = sorted({w.strip(".,").lower() for t in SENTENCES for w in t.split() if len(w) > 2})
+    rank = {g: k for k, g in enumerate(sorted({g for w in known for g in O.grams(w)}))}
+    index, posted = O.Index(known), [set(O.prefix(w, rank)) for w in known]
+    for _ in range(400):
+        w = O.misread(known[rng.integers(len(known))], rng)
+        brute = [k for k in known if len(w) and abs(len(k) - len(w)) <= 2 and len(set(O.grams(k)) & set(O.grams(w))) >= max(1, O.least_common(max(len(k), len(w))))]
+        own = set(O.prefix(w, rank))
+        assert index.near(w) == brute
+        assert set(brute) <= {k for k, p in zip(known, posted) if p & own}
+
+
+def test_gaps_are_ranked(spark):
+    rows, _ = corpus(200)
+    text = "Tribunale di Borgo\n\nVerbale\n\nIl custode ha conse gnato il regi stro alla cancelleria del tribunale e la perizia de scrive il magazzino di Borgo."
+    found = O.find_noise(spark.createDataFrame([*rows, ("t", 7000, text)], "table_name string, job_id long, markdown string")).where("job_id = 7000").collect()
+    assert {("consegnato", "conse gnato"), ("registro", "regi stro"), ("descrive", "de scrive")} <= {(r.word, r.seen) for r in found if r.kind == "misread"}
