@@ -1,7 +1,7 @@
 """Near-duplicate texts by BagMinHash signatures, banding and an exact overlap check.
 
-Every text becomes a bag of word shingles. Exact copies (equal bags of words in order) are first folded into classes, of
-which one representative goes on. A shingle's weight in the signature is 1, or 1/256 if it
+Every text becomes a bag of word shingles, each with the number of its occurrences (or one, if sets are asked for). Exact copies (equal bags of words in order) are first folded into classes, of
+which one representative goes on. A shingle's weight in the signature is its count, or 1/256 of that if it
 occurs in more than one of `common_share` texts: phrases that everybody uses carry next to nothing, so that texts
 which share only those seldom meet in a band there. Every text with a common shingle gets a second signature
 without these weights, in as many bands one row longer, so that variants of a text that itself fills much of the
@@ -12,7 +12,7 @@ shingle's weight; the processes are made by splitting the process of the whole w
 again and again, so that equal shingles of different weight share the points below the lesser weight (a range
 of discretised weights). Two
 signatures agree in a component with the probability of the weighted Jaccard similarity. Pairs that agree in at
-least `min_hits` bands are checked exactly, on the unweighted bags.
+least `min_hits` bands are checked exactly, by the overlap of the bags as they are.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str | None, k: int) -> tuple[np.ndarray, int, int]:
-    """(hashes of the different k-word shingles, in order; number of words; hash of the sequence of words).
+def shingles(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(hashes of the different k-word shingles, in order; how often each occurs; number of words; hash of the sequence of words).
     Texts of fewer than k words have none."""
     words = _WORD.findall(text.lower()) if text else []
     h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -66,14 +66,24 @@ def shingles(text: str | None, k: int) -> tuple[np.ndarray, int, int]:
         grams = np.zeros(len(h) - k + 1, dtype=np.uint64)
         for i in range(k):
             grams = mix(grams ^ h[i : len(h) - k + 1 + i])
-    return np.unique(grams), len(words), xxhash.xxh64_intdigest(h.tobytes())
+    return *np.unique(grams, return_counts=True), len(words), xxhash.xxh64_intdigest(h.tobytes())
+
+
+def repeats(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash for each occurrence of a shingle after its first; with the shingles themselves the bag as a set, so that its overlap with another is that of the bags."""
+    more = counts - 1
+    at = np.repeat(np.arange(len(grams)), more)
+    number = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + 1
+    return mix(grams[at] ^ mix(number.astype(np.uint64)))
 
 
 #: Discretised weights: 0 and the powers of two from 1/256 to 1. A weight counts as the level at or above it.
 LEVELS = np.concatenate([[0.0], 2.0 ** np.arange(-8, 1)])
+#: The same with the counts of a bag: each up to 16, then a quarter more from level to level, to a million.
+COUNT_LEVELS = np.concatenate([LEVELS, np.arange(2.0, 17.0), np.ceil(16 * 1.25 ** np.arange(1, 50))])
 
 
-def bag_min_hash(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
+def bag_min_hash(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, m: int, levels: np.ndarray = LEVELS) -> np.ndarray:
     """(n, m) signatures of n bags; item i with weights[i] belongs to bag owner[i].
 
     Each item has a Poisson process over all levels. A process knows the time of its next point only; to learn
@@ -82,10 +92,10 @@ def bag_min_hash(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: i
     entered, in a component drawn at random, and the level goes on to its next point. A process whose next
     point is later than all entries of its bag can't change the signature and ends.
     """
-    sig, width = np.full(n * m, np.inf), LEVELS
-    bag, need = owner.astype(np.int64), np.searchsorted(LEVELS, weights, "left").clip(0, len(LEVELS) - 1)
+    sig, width = np.full(n * m, np.inf), levels
+    bag, need = owner.astype(np.int64), np.searchsorted(levels, weights, "left").clip(0, len(levels) - 1)
     node = mix(items.astype(np.uint64))
-    lo, hi = np.zeros(len(node), dtype=np.int64), np.full(len(node), len(LEVELS) - 1)
+    lo, hi = np.zeros(len(node), dtype=np.int64), np.full(len(node), len(levels) - 1)
     t = -np.log(uniform(mix(node ^ np.uint64(1)))) / width[-1]
     go = need > 0
     bag, need, node, lo, hi, t = (v[go] for v in (bag, need, node, lo, hi, t))
@@ -122,11 +132,12 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 1, bands: int = 48, rows: int = 4,
-                    min_hits: int = 1, common_share: int = 20, bucket_block: int = 256) -> tuple[DataFrame, DataFrame]:
+                    min_hits: int = 1, common_share: int = 20, bucket_block: int = 256, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(links, members) of the records' texts.
 
     members: id, class_id (least id among the exact copies), n_copies; one row for each record that counts. links: id_a < id_b
-    of two classes whose sets of k-word shingles have a Jaccard similarity of at least `threshold`, similarity.
+    of two classes whose bags of k-word shingles have a weighted Jaccard similarity (shared occurrences by all) of at least `threshold`, similarity;
+    without `counted` each shingle counts once, as the different shingles of either text.
     Null texts, empty ones and texts of fewer than max(k, min_words) words don't count and have no row; repeated rows of one id count once (if
     texts differ under one id, the greater one). Copies are not linked to each other. Other columns are ignored.
 
@@ -139,15 +150,16 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [shingles(t, k) for t in batch["text"]]
-            out = pd.DataFrame({"id": batch["id"].to_numpy(), "words": [g[1] for g in got], "copy": np.array([g[2] for g in got], dtype=np.uint64).view(np.int64), "grams": [g[0].view(np.int64) for g in got]})
+            out = pd.DataFrame({"id": batch["id"].to_numpy(), "words": [g[2] for g in got], "copy": np.array([g[3] for g in got], dtype=np.uint64).view(np.int64), "grams": [g[0].view(np.int64) for g in got]})
+            out["counts"] = [(g[1] if counted else g[1][:0]).astype(np.int32) for g in got]
             yield out[out["words"] >= max(k, min_words)]
 
-    bags = materialize(texts.mapInPandas(shingle, "id long, words int, copy long, grams array<long>"), "near-bags")
+    bags = materialize(texts.mapInPandas(shingle, "id long, words int, copy long, grams array<long>, counts array<int>"), "near-bags")
     once = bags.groupBy("id").agg(F.max("copy").alias("copy"))
     classes = once.groupBy("copy").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
     members = once.join(classes, "copy").select("id", "class_id", "n_copies")
     # one bag for each class; an equal sequence of words has equal shingles, so any of the copies' will do
-    reps = materialize(bags.join(classes.select(F.col("class_id").alias("id"), "copy"), ["id", "copy"]).dropDuplicates(["id"]).select("id", "grams"), "near-classes")
+    reps = materialize(bags.join(classes.select(F.col("class_id").alias("id"), "copy"), ["id", "copy"]).dropDuplicates(["id"]).select("id", "grams", "counts"), "near-classes")
     n = reps.count()
     # at most common_share times the mean number of shingles of a text can be common
     common = reps.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > max(n / common_share, 8)).select("g")
@@ -156,23 +168,27 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     def keyed(ids: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"id": np.repeat(ids, keys.shape[1]), "key": keys.ravel()})
 
+    levels = COUNT_LEVELS if counted else LEVELS
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 64):
                 part = batch.iloc[i : i + 64]
                 sizes = part["grams"].map(len).to_numpy()
                 flat = np.concatenate(part["grams"].to_list()).astype(np.int64)
-                weight, owner = np.ones(len(flat)), np.repeat(np.arange(len(part)), sizes)
+                count = np.concatenate(part["counts"].to_list()).astype(float) if counted else np.ones(len(flat))
+                weight, owner = count.copy(), np.repeat(np.arange(len(part)), sizes)
+                often = np.zeros(len(flat), dtype=bool)
                 if len(common):
-                    where = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                    weight[common[where] == flat] = LEVELS[1]
-                sig = bag_min_hash(flat.view(np.uint64), weight, owner, len(part), bands * rows)
+                    often = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
+                    weight[often] *= LEVELS[1]
+                sig = bag_min_hash(flat.view(np.uint64), weight, owner, len(part), bands * rows, levels)
                 yield keyed(part["id"].to_numpy(), band_keys(sig, rows).view(np.int64))
                 # what a text shares with its like may be just what is common, as in a large group of variants
-                plain = np.flatnonzero(np.bincount(owner, weights=weight < 1, minlength=len(part)))
+                plain = np.flatnonzero(np.bincount(owner, weights=often, minlength=len(part)))
                 if len(plain):
                     own = np.isin(owner, plain)
-                    sig = bag_min_hash(flat[own].view(np.uint64), np.ones(own.sum()), np.searchsorted(plain, owner[own]), len(plain), bands * (rows + 1))
+                    sig = bag_min_hash(flat[own].view(np.uint64), count[own], np.searchsorted(plain, owner[own]), len(plain), bands * (rows + 1), levels)
                     yield keyed(part["id"].to_numpy()[plain], band_keys(sig, rows + 1).view(np.int64))
 
     buckets = materialize(reps.mapInPandas(sign, "id long, key long"), "near-bands")
@@ -183,8 +199,15 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", F.col("id").alias("id_b"))
     pairs = left.join(right, ["key", "block"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)
 
-    a = reps.select(F.col("id").alias("id_a"), F.col("grams").alias("ga"))
-    b = reps.select(F.col("id").alias("id_b"), F.col("grams").alias("gb"))
+    @F.pandas_udf("array<long>")
+    def whole(grams: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate([g, repeats(g.view(np.uint64), c.astype(np.int64)).view(np.int64)]) if len(c) else g for g, c in zip(grams, counts)])
+
+    linked = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    bag = whole("grams", "counts") if counted else F.col("grams")
+    sets = reps.join(linked, "id", "left_semi").select("id", bag.alias("set"))
+    a = sets.select(F.col("id").alias("id_a"), F.col("set").alias("ga"))
+    b = sets.select(F.col("id").alias("id_b"), F.col("set").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     links = pairs.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").withColumn("both", both)
     links = links.withColumn("similarity", F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))).where(F.col("similarity") >= threshold)

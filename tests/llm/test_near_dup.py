@@ -45,7 +45,7 @@ def brute(texts, k, threshold):
 def test_against_all_pairs(spark):
     texts = dict(enumerate(collection(60), 1))
     df = spark.createDataFrame(list(texts.items()), "id long, t string")
-    for how in ({"k": 3, "threshold": 0.5, "bands": 80, "rows": 2, "min_hits": 2}, {}):
+    for how in ({"k": 3, "threshold": 0.5, "bands": 80, "rows": 2, "min_hits": 2, "counted": False}, {"counted": False}):
         links, members = N.near_duplicates(df, "id", "t", **how)
         got = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}
         want = brute(texts, how.get("k", 5), how.get("threshold", 0.8))
@@ -74,7 +74,7 @@ def test_hot_group_with_long_insertions(spark):
     texts = {i: " ".join(hot + [f"r{i}x{j}" for j in range(3)]) for i in range(1, 41)}  # fills more than one text of twenty
     texts |= {100 + i: " ".join(hot + [f"long{i}x{j}" for j in range(44 + i)]) for i in range(10)}  # most of each is rare
     texts |= {500 + i: " ".join(f"o{i}x{j}" for j in range(60)) for i in range(60)}
-    links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2)
+    links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2, counted=False)
     got, want = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}, brute(texts, 3, 0.5)
     assert sum(a < 100 <= b for a, b in want) > 300
     assert got <= want and len(got) >= 0.99 * len(want)
@@ -89,3 +89,57 @@ def test_every_copy_of_a_large_class_has_its_pairs(spark):
     for how in ({}, {"block": 8}):
         got = [(r.id_a, r.id_b) for r in N.record_pairs(links, members, **how).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def bags(text, k):
+    w = re.findall(r"[^\W_]+", text.lower())
+    out = {}
+    for j in range(len(w) - k + 1):
+        out[tuple(w[j : j + k])] = out.get(tuple(w[j : j + k]), 0) + 1
+    return out
+
+
+def overlap(a, b):
+    keys = a.keys() | b.keys()
+    return sum(min(a.get(x, 0), b.get(x, 0)) for x in keys) / max(1, sum(max(a.get(x, 0), b.get(x, 0)) for x in keys))
+
+
+def test_bags_are_signed_and_verified_with_their_counts(spark):
+    rng = random.Random(11)
+    texts = {}
+    for g in range(25):
+        phrases = [" ".join(f"g{g}p{p}w{i}" for i in range(7)) for p in range(6)]
+        base = [rng.choice(phrases) for _ in range(40)]
+        for v in range(4):
+            texts[10 * g + v + 1] = " ".join(base if not v else [rng.choice(phrases) if rng.random() < 0.04 * v else p for p in base])
+    b = {i: bags(t, 5) for i, t in texts.items()}
+    want = {(i, j) for i, j in combinations(sorted(b), 2) if overlap(b[i], b[j]) >= 0.8}
+    sets = {(i, j) for i, j in combinations(sorted(b), 2) if len(b[i].keys() & b[j].keys()) >= 0.8 * len(b[i].keys() | b[j].keys())}
+    links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t")
+    got = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}
+    assert want < sets or want - sets  # the counts matter
+    assert got <= want and len(got) >= 0.98 * len(want)
+    some = links.first()
+    assert abs(some.similarity - overlap(b[some.id_a], b[some.id_b])) < 1e-9
+
+
+def test_recall_at_every_share_of_common_shingles(spark):
+    rng, texts, i = random.Random(5), {}, 0
+    hot = [f"h{j}" for j in range(202)]
+    for share in [x / 10 for x in range(11)]:
+        for _ in range(12):
+            n = int(200 * share)
+            own = [f"r{i}x{j}" for j in range(200 - n)]
+            at = rng.randrange(1, 203 - n) if n else 0
+            base = hot[at : at + n] + own
+            more = [f"n{i}x{j}" for j in range(190)]  # just above one half
+            texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(base + more)
+            i += 1
+    texts |= {10_000 + j: " ".join(hot) + f" z{j} y{j}" for j in range(60)}
+    links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2, counted=False)
+    got = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}
+    want = {p for p in brute(texts, 3, 0.5) if p[1] < 10_000 and p[0] // 2 == p[1] // 2}
+    assert len(want) > 120
+    for tenth in range(11):
+        own = {p for p in want if p[0] // 24 == tenth}
+        assert len(own & got) >= 0.98 * len(own), tenth
