@@ -159,7 +159,9 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     classes = once.groupBy("copy").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
     members = once.join(classes, "copy").select("id", "class_id", "n_copies")
     # one bag for each class; an equal sequence of words has equal shingles, so any of the copies' will do
-    reps = materialize(bags.join(classes.select(F.col("class_id").alias("id"), "copy"), ["id", "copy"]).dropDuplicates(["id"]).select("id", "grams", "counts"), "near-classes")
+    chosen = classes.select(F.col("class_id").alias("id"), F.col("copy").alias("chosen"))
+    # joined by id alone, so that one shuffle serves the join and the removal of repeated rows
+    reps = materialize(bags.join(chosen, "id").where("copy = chosen").dropDuplicates(["id"]).select("id", "grams", "counts"), "near-classes")
     n = reps.count()
     # at most common_share times the mean number of shingles of a text can be common
     common = reps.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > max(n / common_share, 8)).select("g")
