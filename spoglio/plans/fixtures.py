@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spoglio.catalog import query
 from spoglio.operators import audit as A
 from spoglio.operators import casefile as C
+from spoglio.operators import jobs as B
 from spoglio.operators import judgments as J
 from spoglio.operators import markdown as M
 
@@ -139,3 +140,91 @@ def fixture_bytes(spark, d):
 @fixture("fixture_messages", "k, message", (1, "errore in atto.pdf: non letto"), (2, "vedi dati.csv e x.pdf"), (3, "a b"))
 def fixture_messages(spark, d):
     return _texts(spark, "errore in  /home/u/casi/atto.pdf: non letto", "vedi C:\\tmp\\dati.csv e ../../x.pdf", " a\n b ").select("k", A.warning_message(F.col("markdown")).alias("message"))
+
+
+@fixture("fixture_durations", "seconds, text", (-3, "0s"), (59, "59s"), (61, "1m 01s"), (3725, "1h 02m 05s"), (360000, "100h 00m 00s"))
+def fixture_durations(spark, d):
+    return spark.createDataFrame([(n,) for n in (-3, 59, 61, 3725, 360000)], "seconds int").select("seconds", B.duration_text(F.col("seconds")).alias("text"))
+
+
+def _blocks(spark):
+    return spark.createDataFrame([(1, 1, 5, 10.0, 12), (1, 2, 5, 30.0, 12), (1, 3, 2, 8.0, 12), (2, 1, 4, 0.0, 4), (2, 2, 0, 0.0, 4)], "job int, block_no int, pages int, seconds double, total_pages int")
+
+
+@fixture("fixture_progress", "job, block_no, percent, eta", (1, 1, 42, "14s"), (1, 2, 83, "8s"), (1, 3, 100, "0s"), (2, 1, 100, "0s"), (2, 2, 100, "0s"))
+def fixture_progress(spark, d):
+    return B.block_progress(_blocks(spark), "job").select("job", "block_no", "percent", "eta")
+
+
+@query("fixture_slowest", "SELECT * FROM (VALUES (1, 2, 30.0::DOUBLE, 8.0::DOUBLE, 16.0::DOUBLE, 15.0::DOUBLE), (2, 1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE)) t(job, block_no, slowest, fastest, mean, pages_per_minute)")
+def fixture_slowest(spark, d):
+    return B.slowest_block(_blocks(spark), "job")
+
+
+@query("fixture_reduction", "SELECT * FROM (VALUES (1000, 750, 25.0::DOUBLE), (3, 1, 66.7::DOUBLE), (0, 5, NULL), (10, 12, -20.0::DOUBLE)) t(before, after, percent)")
+def fixture_reduction(spark, d):
+    return spark.createDataFrame([(1000, 750), (3, 1), (0, 5), (10, 12)], "before int, after int").select("*", B.size_reduction(F.col("before"), F.col("after")).alias("percent"))
+
+
+@fixture("fixture_free_names", "name, free", ("o/a_searchable.pdf", "o/a_searchable_3.pdf"), ("o/b_searchable.pdf", "o/b_searchable.pdf"), ("o/c_searchable.pdf", "o/c_searchable_2.pdf"))
+def fixture_free_names(spark, d):
+    taken = spark.createDataFrame([("o/a_searchable.pdf",), ("o/a_searchable_2.pdf",), ("o/a_searchable_4.pdf",), ("o/b_searchable_2.pdf",), ("o/c_searchable.pdf",)], "path string")
+    return B.first_free(spark.createDataFrame([("o/a_searchable.pdf",), ("o/b_searchable.pdf",), ("o/c_searchable.pdf",)], "name string"), "name", taken, "path", before=".pdf")
+
+
+def _manifests(spark):
+    out = "struct<markdown: string, index_markdown: string, searchable_pdf: string, run_log: string, manifest: string>"
+    rows = [("m1", ("success",), (True,), ("a.md", None, "a.pdf", "run.log", "m.json")), ("m2", ("success",), (True,), (None, None, " ", None, None)), ("m3", ("running",), (False,), ("b.md", None, None, "x.log", None)), ("m4", None, None, None)]
+    return spark.createDataFrame(rows, f"manifest_file string, job struct<status: string>, processing struct<ocr_searchable_pdf_requested: boolean>, outputs {out}")
+
+
+@fixture(
+    "fixture_verification", "manifest_file, ok, present, required, summary", ("m1", True, 3, 3, "Output verificati: 3/3\nWarning: Indice Markdown del PDF ricercabile non presente"),
+    ("m2", False, 0, 3, "Output verificati: 0/3\nManca: markdown, run_log, manifest\nWarning: PDF ricercabile richiesto ma non presente"), ("m3", False, 0, 1, "Output verificati: 0/1\nManca: run_log"), ("m4", True, 0, 0, "Output verificati: 0/0"),
+)
+def fixture_verification(spark, d):
+    m, listing = _manifests(spark), spark.createDataFrame([("a.md", 3), ("a.pdf", 0), ("run.log", 1), ("m.json", 9), ("m.json", 9)], "path string, size_bytes long")
+    return _as_bigint(B.verification_summary(m, B.verify_outputs(m, listing)), "present", "required").select("manifest_file", "ok", "present", "required", "summary")
+
+
+@fixture("fixture_manifests", "id, filename, status, run_log, reason, strategy", ("7", "atto uno.pdf", "running", "out/run.log", None, "conservative_heading_detection"), ("8", "b.pdf", "running", "o/run.log", "searchable_pdf_not_requested", None))
+def fixture_manifests(spark, d):
+    jobs = spark.createDataFrame([(7, "in/atto uno.pdf", "out", 5, "ab", "Bilanciato", 15, True, True, "ita", "auto", 1800), (8, "b.pdf", "o", None, None, "x", 10, False, None, "ita", "auto", None)], "job_id int, path string, output_dir string, size_bytes long, sha256 string, profile string, block_size int, structure_markdown boolean, searchable boolean, language string, backend string, timeout_seconds int")
+    m = B.build_manifests(jobs.withColumn("started_at", F.lit("2026-01-01T00:00:00Z")))
+    return m.select("job.id", "input.filename", "job.status", "outputs.run_log", "bookmarks.reason", F.col("markdown_structure.strategy").alias("strategy"))
+
+
+@fixture("fixture_layout", "markdown, index_markdown, searchable_pdf, run_log, manifest", ("o/atto.v1_ocr.md", "o/atto.v1_ocr_index.md", "o/atto.v1_searchable.pdf", "o/run.log", "o/manifest.json"))
+def fixture_layout(spark, d):
+    return spark.createDataFrame([("in/atto.v1.pdf", "o")], "path string, folder string").select(B.output_names(F.col("path"), F.col("folder")).alias("n")).select("n.*")
+
+
+@fixture("fixture_chosen_pdf", "output_dir, auto, light, original", ("a", "a/l.pdf", "a/l.pdf", "a/m.pdf"), ("b", "b/m.pdf", None, "b/m.pdf"), ("c", None, None, None))
+def fixture_chosen_pdf(spark, d):
+    out, listing = spark.createDataFrame([("a",), ("b",), ("c",)], "output_dir string"), spark.createDataFrame([("a/l.pdf",), ("a/m.pdf",), ("b/m.pdf",), ("c/x.pdf",)], "path string")
+    for mode in ("auto", "light", "original"):
+        out = B.chosen_pdf(out, listing, mode, "m.pdf", "l.pdf").withColumnRenamed("pdf", mode)
+    return out
+
+
+@fixture("fixture_orders", "relative_path, place, global", ("1/ListaAllegati.html", 1, False), ("B/indice.xml", 2, True), ("elenco.txt", 3, False), ("a/indice.csv", 4, False))
+def fixture_orders(spark, d):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([("1/ListaAllegati.html", "high"), ("B/indice.xml", "high"), ("a/indice.csv", "low"), ("elenco.txt", "medium")], "relative_path string, confidence string")
+    place = F.row_number().over(Window.orderBy(B.index_rank(F.col("confidence")), F.lower("relative_path"), "relative_path"))
+    sure = B.global_indexes(df).select("relative_path", F.lit(True).alias("global"))
+    return df.select("relative_path", place.alias("place")).join(sure, "relative_path", "left").na.fill(False, ["global"])
+
+
+@fixture("fixture_unit_ids", "unit_id, place", ("2", 1), ("010", 2), ("11", 3), ("bis", 4), ("x", 5))
+def fixture_unit_ids(spark, d):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([("11",), ("x",), ("010",), ("2",), ("bis",)], "unit_id string")
+    return df.select("unit_id", F.row_number().over(Window.orderBy(B.unit_rank(F.col("unit_id")))).alias("place"))
+
+
+@fixture("fixture_badges", "k, badge", (1, ""), (2, "uno"), (3, "3 avvisi: uno …"), (4, ""))
+def fixture_badges(spark, d):
+    return spark.createDataFrame([(1, []), (2, ["uno"]), (3, ["uno", "due", "tre"]), (4, None)], "k int, w array<string>").select("k", B.warning_badge(F.col("w")).alias("badge"))

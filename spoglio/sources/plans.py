@@ -32,24 +32,12 @@ def _fields(ddl: str) -> list[str]:
     return [*out, now.strip()]
 
 
-def prefer_revised(items: DataFrame, revised: str = "revised") -> DataFrame:
-    """Of the plans of one folder, the revised file's items where there is one."""
-    is_revised = F.col("plan_file").contains(revised).cast("int")
+def prefer_revised(items: DataFrame, revised: str = "fascicolo_merge_plan_revised.json") -> DataFrame:
+    """Of the plans of one folder, the items of the file named `revised` where there is one."""
+    is_revised = (F.regexp_extract("plan_file", r"[^/]*$", 0) == revised).cast("int")
     best = items.groupBy("casefile_id").agg(F.max(is_revised).alias("best"))
     return items.join(best, "casefile_id").where(is_revised == F.col("best")).drop("best")
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("manifest_file", F.input_file_name())
-
-
-def verify_outputs(manifests: DataFrame, listing: DataFrame) -> DataFrame:
-    """Each declared output with whether it must and does exist: manifest_file, output, path, required, exists. A successful job needs its Markdown and,
-    if asked for, the searchable file; logs and manifests are needed always. listing: path, size_bytes."""
-    keys = ["markdown", "index_markdown", "searchable_pdf", "run_log", "manifest"]
-    pairs = F.array(*[F.struct(F.lit(k).alias("output"), F.col(f"outputs.{k}").alias("path")) for k in keys])
-    ok = F.col("job.status") == "success"
-    need = F.when(F.col("output").isin("run_log", "manifest"), True).when(F.col("output") == "markdown", ok).when(F.col("output") == "searchable_pdf", ok & F.coalesce(F.col("processing.ocr_searchable_pdf_requested"), F.lit(False))).otherwise(False)
-    every = manifests.select("manifest_file", "job", "processing", F.explode(pairs).alias("o")).select("manifest_file", "job", "processing", "o.output", "o.path")
-    have = listing.select("path", "size_bytes").dropDuplicates(["path"])
-    return every.join(have, "path", "left").select("manifest_file", "output", "path", F.coalesce(need, F.lit(False)).alias("required"), F.col("size_bytes").isNotNull().alias("exists"), "size_bytes")

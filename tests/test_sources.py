@@ -52,15 +52,17 @@ def test_html_rows_unseen_by_links():
 
 
 def test_plans_and_manifests(spark, tmp_path):
+    from spoglio.operators.jobs import verify_outputs
+
     (tmp_path / "c").mkdir()
     item = {"final_order": 1, "unit_id": "a", "source_pdf": "a.pdf", "include_in_merged_pdf": True, "warnings": [{"code": "w", "message": "m", "path": None}]}
-    (tmp_path / "c" / "plan.json").write_text(json.dumps({"items": [item]}))
-    (tmp_path / "c" / "plan_revised.json").write_text(json.dumps({"items": [item | {"final_order": 9}]}))
-    items = plans.prefer_revised(plans.read_plans(spark, str(tmp_path / "c" / "plan*.json")))
+    (tmp_path / "c" / "fascicolo_merge_plan.json").write_text(json.dumps({"items": [item]}))
+    (tmp_path / "c" / "fascicolo_merge_plan_revised.json").write_text(json.dumps({"items": [item | {"final_order": 9}]}))
+    items = plans.prefer_revised(plans.read_plans(spark, str(tmp_path / "c" / "fascicolo_merge_plan*.json")))
     assert [(r.casefile_id, r.final_order, r.warnings[0].code) for r in items.collect()] == [("c", 9, "w")]
     (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "job": {"status": "success"}, "processing": {"ocr_searchable_pdf_requested": True}, "outputs": {"markdown": "a.md", "searchable_pdf": "s.pdf", "manifest": "m.json"}}))
     listing = spark.createDataFrame([("a.md", 5)], "path string, size_bytes long")
-    got = {r.output: (r.required, r.exists) for r in plans.verify_outputs(plans.read_manifests(spark, str(tmp_path / "m.json")), listing).collect()}
+    got = {r.output: (r.required, r.exists) for r in verify_outputs(plans.read_manifests(spark, str(tmp_path / "m.json")), listing).collect()}
     assert got["markdown"] == (True, True) and got["searchable_pdf"] == (True, False) and got["index_markdown"] == (False, False)
 
 
