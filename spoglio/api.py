@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoglio.functions import rules
@@ -51,10 +51,13 @@ def analyze(spark: SparkSession, root: str, hashes: bool = True) -> Analysis:
     category = rules.act_category(F.col("act_title"), F.col("description"))
     units = units.withColumn("act_category", category["kind"]).withColumn("category_confidence", category["confidence"]).withColumn("group", rules.sort_group(F.col("act_category")))
     units = units.join(C.unit_order(units).drop("casefile_id"), "unit_key").withColumn("bookmark_title", C.unit_bookmark(F.col("act_number"), F.col("act_title"), F.col("unit_id")))
-    order = Window.partitionBy("casefile_id").orderBy("suggested_order")
-    plan = units.where("main_pdf_path is not null").select(
-        F.col("unit_key").alias("item_id"), "casefile_id", F.row_number().over(order).cast("int").alias("final_order"), "unit_id", F.col("main_pdf_path").alias("source_pdf"), F.lit(True).alias("include_in_merged_pdf"), F.lit(None).cast("string").alias("exclude_reason"),
-        F.lit(True).alias("merge_candidate"), C.plan_bookmark(F.col("act_title"), F.col("unit_id")).alias("bookmark_title"), "act_title", "act_number", "act_category", "suggested_order", F.col("group.sort_group").alias("sort_group"), F.col("group.sort_priority").alias("sort_priority"),
+    ready = C.running(units.where("main_pdf_path is not null"), ["casefile_id"], [F.col("suggested_order")], F.lit(1), "final_order", F.floor(F.col("suggested_order") / 4096))
+    number = F.col("final_order").cast("string")
+    title = C.plan_bookmark(F.col("act_title"), F.col("unit_id"))
+    label = F.concat(F.when(F.length(number) >= 3, number).otherwise(F.lpad(number, 3, "0")), F.lit(" - "), title)
+    plan = ready.select(
+        F.col("unit_key").alias("item_id"), "casefile_id", F.col("final_order").cast("int").alias("final_order"), "unit_id", F.col("main_pdf_path").alias("source_pdf"), F.lit(True).alias("include_in_merged_pdf"), F.lit(None).cast("string").alias("exclude_reason"),
+        F.lit(True).alias("merge_candidate"), title.alias("bookmark_title"), label.alias("bookmark_label"), "act_title", "act_number", "act_category", "suggested_order", F.col("group.sort_group").alias("sort_group"), F.col("group.sort_priority").alias("sort_priority"),
         "faldone_number", "index_date", "pg_progressive", "total_pages", F.when(F.col("anomalous_date"), F.array(F.struct(F.lit("anomalous_date").alias("code"), F.concat(F.lit("Data atto anomala: "), "index_date").alias("message"), F.col("attachment_index_path").alias("path")))).alias("warnings"),
     )
     return Analysis(documents, found, entries, matches, units, plan, C.duplicate_files(documents), C.case_profile(documents, units))

@@ -1,5 +1,5 @@
 from spoglio.api import analyze
-from spoglio.operators import casefile as C
+from spoglio.operators import audit as A
 
 
 def test_end_to_end(spark, tmp_path):
@@ -19,7 +19,9 @@ def test_end_to_end(spark, tmp_path):
     assert [r.warning for r in a.entries.where("warning is not null").collect()] == ["index_parse_error: ParseError"]
     assert [r.relative_path for r in a.duplicates.collect()] == ["200/allegato uno.pdf"]
     assert a.profiles.first().profile == "ministeriale_tiap"
-    assert {r.code for r in C.validate_plan(a.plan, a.documents).collect()} == set()
+    found = A.validate_plan(a.plan, a.documents).collect()
+    assert {r.severity for r in found} == {"warning"} and sorted(r.message.split(": ", 1)[1] for r in found) == ["numero pagine mancante o zero.", "numero pagine mancante o zero.", "warning già presente nel piano: Data atto anomala: 08/11/5202"]
+    assert [r.bookmark_label for r in a.plan.orderBy("final_order").collect()] == ["001 - VERBALE DI ARRESTO", "002 - CERTIFICATO PENALE"]
     # every entry has exactly one outcome, orders are a permutation, no result holds the root
     assert a.matches.count() == a.entries.where("warning is null").count()
     assert not [r for r in a.documents.collect() if str(tmp_path) in str(r)]

@@ -63,7 +63,7 @@ def test_plans_and_manifests(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "job": {"status": "success"}, "processing": {"ocr_searchable_pdf_requested": True}, "outputs": {"markdown": "a.md", "searchable_pdf": "s.pdf", "manifest": "m.json"}}))
     listing = spark.createDataFrame([("a.md", 5)], "path string, size_bytes long")
     got = {r.output: (r.required, r.exists) for r in verify_outputs(plans.read_manifests(spark, str(tmp_path / "m.json")), listing).collect()}
-    assert got["markdown"] == (True, True) and got["searchable_pdf"] == (True, False) and got["index_markdown"] == (False, False)
+    assert got["markdown"] == (True, True) and got["searchable_pdf"] == (False, False) and got["run_log"] == (True, False) and got["index_markdown"] == (False, False)
 
 
 def test_reports(spark, tmp_path):
