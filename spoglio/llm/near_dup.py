@@ -11,12 +11,14 @@ component, the least arrival time of the Poisson processes of its shingles, each
 shingle's weight; the processes are made by splitting the process of the whole weight range in half
 again and again, so that equal shingles of different weight share the points below the lesser weight (a range
 of discretised weights). Two
-signatures agree in a component with the probability of the weighted Jaccard similarity. Pairs that agree in at
+signatures agree in a component with the probability of the weighted Jaccard similarity. A byte each of 64 components of a third signature, without those weights and of every text,
+is kept as a sketch: pairs of which these agree in fewer than a pair at the threshold would with a chance of all but one in a hundred thousand met by accident. The other pairs that agree in at
 least `min_hits` bands are checked exactly, by the overlap of the bags as they are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -131,6 +133,24 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+#: Components of the signature of which a byte each is kept as a sketch.
+SKETCH = 64
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """A byte of each component."""
+    return (mix(sig.view(np.uint64) ^ np.uint64(9)) & np.uint64(255)).astype(np.uint8)
+
+
+def surely(similarity: float, risk: float = 1e-5) -> int:
+    """The most components of a sketch in which two texts of that similarity agree with a chance of at least 1 - risk."""
+    total, k = 0.0, -1
+    while total <= risk:
+        k += 1
+        total += math.comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k)
+    return k
+
+
 def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 1, bands: int = 48, rows: int = 4,
                     min_hits: int = 1, common_share: int = 20, bucket_block: int = 256, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(links, members) of the records' texts.
@@ -168,7 +188,7 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     common = np.sort(np.array([r.g for r in common.toLocalIterator()], dtype=np.int64))
 
     def keyed(ids: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"id": np.repeat(ids, keys.shape[1]), "key": keys.ravel()})
+        return pd.DataFrame({"id": np.repeat(ids, keys.shape[1]), "key": pd.array(keys.ravel(), dtype="Int64"), "sketch": None})
 
     levels = COUNT_LEVELS if counted else LEVELS
 
@@ -192,8 +212,12 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
                     own = np.isin(owner, plain)
                     sig = bag_min_hash(flat[own].view(np.uint64), count[own], np.searchsorted(plain, owner[own]), len(plain), bands * (rows + 1), levels)
                     yield keyed(part["id"].to_numpy()[plain], band_keys(sig, rows + 1).view(np.int64))
+                # one width and no weights for every text, as components of signatures of different widths don't compare
+                sketch = sketches(bag_min_hash(flat.view(np.uint64), count, owner, len(part), SKETCH, levels))
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "key": pd.array([None] * len(part), dtype="Int64"), "sketch": [s.tobytes() for s in sketch]})
 
-    buckets = materialize(reps.mapInPandas(sign, "id long, key long"), "near-bands")
+    signed = materialize(reps.mapInPandas(sign, "id long, key long, sketch binary"), "near-bands")
+    buckets, drawn = signed.where("key is not null").select("id", "key"), signed.where("key is null").select("id", "sketch")
     crowd = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     crowd = crowd.withColumn("blocks", F.ceil(F.col("size") / bucket_block).cast("int"))
     met = buckets.join(crowd, "key")
@@ -201,6 +225,17 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str, k: int = 5,
     right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", F.col("id").alias("id_b"))
     pairs = left.join(right, ["key", "block"]).where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)
 
+    # what the unweighted signatures tell at once of pairs that only met by chance
+    least = surely(threshold)
+
+    @F.pandas_udf("int")
+    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = [np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, SKETCH) for x in (a, b)] if len(a) else [np.zeros((0, SKETCH))] * 2
+        return pd.Series((both[0] == both[1]).sum(1).astype(np.int32))
+
+    pairs = pairs.select("id_a", "id_b").join(drawn.select(F.col("id").alias("id_a"), F.col("sketch").alias("sa")), "id_a").join(drawn.select(F.col("id").alias("id_b"), F.col("sketch").alias("sb")), "id_b")
+    pairs = materialize(pairs.where(agree("sa", "sb") >= least).select("id_a", "id_b"), "near-pairs")
+
     @F.pandas_udf("array<long>")
     def whole(grams: pd.Series, counts: pd.Series) -> pd.Series:
         return pd.Series([np.concatenate([g, repeats(g.view(np.uint64), c.astype(np.int64)).view(np.int64)]) if len(c) else g for g, c in zip(grams, counts)])

@@ -143,3 +143,15 @@ def test_recall_at_every_share_of_common_shingles(spark):
     for tenth in range(11):
         own = {p for p in want if p[0] // 24 == tenth}
         assert len(own & got) >= 0.98 * len(own), tenth
+
+
+def test_a_text_with_common_shingles_and_one_without(spark):
+    hot = [f"h{j}" for j in range(80)]
+    texts = {10_000 + j: " ".join(hot) + f" z{j} y{j}" for j in range(80)}  # makes the hot shingles common
+    for i in range(120):
+        own = [f"r{i}x{j}" for j in range(120)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join(own + hot[:40])  # all that is shared is rare
+    for counted in (False, True):
+        links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2, counted=counted)
+        got = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}
+        assert {(2 * i, 2 * i + 1) for i in range(120)} <= got
