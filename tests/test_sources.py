@@ -90,3 +90,21 @@ def test_stream_counts_a_record_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.job_id for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_plan_reports(spark, tmp_path):
+    from spoglio.operators import audit as A
+    from spoglio.plans import fixtures
+
+    items, docs = (df.where("casefile_id = 'a'") for df in fixtures._plan(spark))
+    reports.write_validation(str(tmp_path), A.plan_rows(items, docs), A.validate_plan(items, docs), "piano.json")
+    data, text = json.loads((tmp_path / "validation.json").read_text()), (tmp_path / "validation.md").read_text()
+    assert not data["ok"] and data["total_items"] == 8 and len(data["errors"]) == 5 and len(data["warnings"]) == 9 and len(data["items"]) == 8
+    assert "Esito: ERRORE" in text and "- Ordine duplicato tra item inclusi: 1." in text and "| 7 | no |  | 7 | 7/7.pdf | 0 | 1 |" in text
+    e = A.estimate_items(items, docs)
+    reports.write_estimate(str(tmp_path), e, A.estimate_totals(e), "piano.json")
+    table = (tmp_path / "estimate.csv").read_bytes().decode("utf-8-sig").split("\r\n")
+    assert table[0] == "order;included;title/bookmark;source_pdf;pages;size_bytes;warning;reason" and table[1].startswith("1;si;001 - Uno;1/1.pdf;3;2048;;") and table[-2].startswith(";no;;7/7.pdf;;;;doppione")
+    assert "Atti esclusi: 1" in (tmp_path / "estimate.md").read_text() and "- solo_codice" in (tmp_path / "estimate.md").read_text()
+    with pytest.raises(ValueError, match="over 3 rows"):
+        reports.validation_report(A.plan_rows(items, docs), A.validate_plan(items, docs), "x", most=3)
