@@ -65,15 +65,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
     """Cut the lineage: write the rows once to the shared folder and go on from the written table, which
-    outlives any executor. The files are removed when the JVM ends."""
+    outlives any executor. The files are removed when the JVM ends, or by `discard`. With `tidy` the shuffle files of
+    the write go as it ends, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spoglio-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spoglio_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(df._spoglio_path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -155,3 +155,64 @@ def test_a_text_with_common_shingles_and_one_without(spark):
         links, members = N.near_duplicates(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2, counted=counted)
         got = {(r.id_a, r.id_b) for r in N.record_pairs(links, members).collect()}
         assert {(2 * i, 2 * i + 1) for i in range(120)} <= got
+
+
+def test_disk_stays_below_four_times_the_input(spark, tmp_path):
+    import threading
+    from pathlib import Path
+
+    from spoglio.session import shared_dir
+
+    rng = random.Random(3)
+    stock = [" ".join(rng.choice("abcdefghilmnoprstuv") * 2 + str(rng.randrange(400)) for _ in range(12)) for _ in range(400)]
+    texts = [" ".join(rng.choice(stock) if rng.random() < 0.7 else " ".join(f"x{rng.randrange(10**6)}" for _ in range(12)) for _ in range(36)) for _ in range(2500)]
+    spark.createDataFrame(list(enumerate(texts, 1)), "id long, t string").coalesce(4).write.parquet(str(tmp_path / "texts"))
+    size = sum(p.stat().st_size for p in (tmp_path / "texts").rglob("*.parquet"))
+    local = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    places = [Path(p) for p in [shared_dir(spark).removeprefix("file://"), *local]]
+
+    def used():
+        total = 0
+        for p in (p for place in places for p in place.rglob("*")):
+            try:
+                total += p.stat().st_size if p.is_file() else 0
+            except OSError:
+                pass
+        return total
+
+    floor, most, done = used(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            most[0] = max(most[0], used() - floor)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        links, members = N.near_duplicates(spark.read.parquet(str(tmp_path / "texts")), "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2, counted=False)
+    finally:
+        done.set()
+        watcher.join()
+    assert members.count() == 2500
+    assert size > 2_000_000 and most[0] < 4 * size
+
+
+def test_crowded_buckets_in_pieces(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(base + [f"z{i}", f"y{i}"]) for i in range(1, 91)} | {200 + i: " ".join(f"o{i}x{j}" for j in range(30)) for i in range(10)}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    want = brute(texts, 3, 0.5)
+    for block in (1, 4, 256):
+        links, members = N.near_duplicates(df, "id", "t", k=3, threshold=0.5, bands=80, rows=2, min_hits=2, counted=False, bucket_block=block)
+        assert {(r.id_a, r.id_b) for r in links.collect()} == want and len(want) == 90 * 89 // 2
+
+
+def test_words_are_runs_of_letters_and_digits():
+    texts = ["", "Perché NON_è così; l'art.12-bis", "  İstanbul ǅ ½ ٣ x²\n\tß", "\U0001d400\U0001f600 a\ud800b", "一二 é"]
+    for many in (texts, [t for t in texts for _ in range(3)]):
+        hashes, at = N.words(many)
+        flat = [w for t in many for w in re.findall(r"[^\W_]+", t.lower())]
+        assert list(np.diff(at)) == [len(re.findall(r"[^\W_]+", t.lower())) for t in many]
+        assert len({*zip(flat, hashes.tolist())}) == len(set(flat)) == len(set(hashes.tolist()))
+    got = list(N.shingles(["a b c a b c a b", "a b", "", "b c a"], 3))
+    assert [g[2] for g in got] == [8, 2, 0, 3] and sorted(got[0][1]) == [2, 2, 2] and not len(got[1][0]) and got[3][0][0] in got[0][0]
